@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,11 +52,18 @@ def _one_off(word: Column) -> Column:
     """The word and all it becomes with one letter left out: two words share one if they are one edit or swap apart."""
     n = F.length(word)
     cuts = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n)))
-    return F.array_distinct(F.concat(F.array(word), F.when(n > 3, cuts).otherwise(F.array().cast("array<string>"))))
+    return F.when(word.isNotNull(), F.array_distinct(F.concat(F.array(word), F.when(n > 3, cuts).otherwise(F.array().cast("array<string>")))))
+
+
+def _tagged(rule: int) -> Callable[[Column], Column]:
+    return lambda key: F.struct(F.lit(rule).alias("rule"), key.alias("key"))
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """(id, rule, key) of rows with id, person, project, mail, code, desk, date, department, site, form (one row a form)."""
+    """(id, rule, key) of rows with id, person, project, mail, code, desk, date, department, site, bare, form (one row a form).
+
+    Names alone are keys only where ``bare`` says that nothing stronger is given that could contradict them.
+    """
     w = F.split(F.col("clean"), " ")
     first, last, n = w[0], F.element_at(w, -1), F.size(w)
     long_last = F.when(F.length(last) > 1, last)
@@ -78,11 +86,11 @@ def _keys(rows: DataFrame) -> DataFrame:
             off(F.when(F.col("person"), long_last), (F.lit("p"), date, F.substring(first, 1, 1))),
             off(F.when(F.col("project") & (F.length(first) > 4), first), (F.lit("j"), date)),
         )),
-        F.array(person(full, dept), project(full, dept)),
-        F.array(person(full, site)),
-        F.array(person(full), project(full)),
+        F.when(F.col("bare"), F.array(person(full, dept), project(full, dept))),
+        F.when(F.col("bare"), F.array(person(full, site))),
+        F.when(F.col("bare"), F.array(person(full), project(full))),
     ]
-    entries = F.flatten(F.array(*[F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda k, r=r: F.struct(F.lit(r).alias("rule"), k.alias("key"))) for r, a in enumerate(by_rule)]))
+    entries = F.concat(*[F.transform(F.coalesce(a, F.array().cast("array<string>")), _tagged(r)) for r, a in enumerate(by_rule)])
     prepared = rows.withColumn("clean", _clean(F.col("form")))
     return prepared.select("id", F.explode(entries).alias("e")).select("id", "e.*").where("key is not null").distinct()
 
@@ -98,7 +106,7 @@ def node_forms(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     ).distinct()
     other = aliases.groupBy(F.col("entity_id").alias("id")).agg(F.array_distinct(F.flatten(F.collect_set(F.concat(F.array("canonical"), F.coalesce("aliases", F.array()))))).alias("more"))
     every = states.join(other, "id", "left").withColumn("form", F.explode(F.array_distinct(F.concat("forms", F.coalesce("more", F.array())))))
-    return every.withColumn("project", ~F.col("person")).where(F.trim("form") != "").drop("forms", "more")
+    return every.withColumn("project", ~F.col("person")).withColumn("bare", F.lit(True)).where(F.trim("form") != "").drop("forms", "more")
 
 
 def other_forms(recon: DataFrame) -> DataFrame:
@@ -112,6 +120,7 @@ def other_forms(recon: DataFrame) -> DataFrame:
         F.substring(F.regexp_replace(p("contact.desk"), "[^0-9]", ""), -7, 7).alias("desk"), _date(p("since")).alias("date"),
         _department(p("dept")).alias("department"), F.lower(p("site")).alias("site"), F.concat(F.array(p("label")), F.coalesce("aliases", F.array())).alias("forms"),
     )
+    rows = rows.withColumn("bare", F.col("date").isNull() & (F.coalesce("desk", F.lit("")) == ""))
     return rows.withColumn("form", F.explode(F.array_distinct("forms"))).where(F.trim("form") != "").drop("forms").distinct()
 
 
