@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.llm import entity_match, leakage, quality
+from chronoweave.llm import entity_match, leakage, packing, quality, splitting
 from chronoweave.runtime import Workspace, read_table
 
 
@@ -18,6 +20,32 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_matches(spark, folder).select("node_id", "recon_id")
 
 
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(read_table(spark, folder, "chunks"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p5_pieces(spark, folder).select("chunk_id", "forced").distinct()
+
+
+P5_FOUND_SQL = """
+select distinct id chunk_id, cast(list_max(list_transform(regexp_split_to_array(text, '[ \\t\\n]'), lambda x: length(x))) > 1200 as integer) forced
+from chunks where length(text) > 1200
+"""
+
+#: Where the public vocabularies lie on this machine and on every executor.
+VOCABULARY = os.environ.get("CHRONOWEAVE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    with Workspace(spark, "p7") as ws:
+        return packing.fill(read_table(spark, folder, "documents"), ws, VOCABULARY)
+
+
+def p7_room(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.room(p7_fill(spark, folder))
+
+
 def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and items of which a passage stands in them with at most two words of fifteen edited."""
     return leakage.leaks(read_table(spark, folder, "documents"), read_table(spark, folder, "eval_items"))
@@ -46,5 +74,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
         return ws.put(quality.no_prose(read_table(spark, folder, "documents"), ws).select("doc_id"), keep=True)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p8_found, p8_leaks, p8_items, p9_found, p9_scores, p9_statistics)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p3_found, p3_matches, p5_found, p5_pieces, p7_fill, p7_room, p8_found, p8_leaks, p8_items, p9_found, p9_scores, p9_statistics)}
+SQL = {"p5_found": P5_FOUND_SQL}
