@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from chronoweave.plans import graph_queries, problems
+from chronoweave.plans import graph_queries, journal_queries, problems
 
-MODULES = (problems, graph_queries)
+MODULES = (problems, graph_queries, journal_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
