@@ -36,7 +36,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _SYMBOL = re.compile(r"[\w\s]+")
 _MARK = re.compile(r"\s*(?:[-*+•–—·]|\(?\d{1,3}[.)]|\d+(?:\.\d+)+)\s+")
-_TABLE = re.compile(r"\|.*\||\t|;\S[^;]*;|,\S[^,]*,\S[^,]*,|\S {3,}\S|\.{5,}|^\s*[\w.-]+\s*(?:=|:)\s*\S+\s*$|^\d{4}-\d\d-\d\dT|<\S+@\S+>")
+_KEY_VALUE = re.compile(r"[\w.-]+\s*(?:=|:)\s*\S+$")
+_STAMPED = re.compile(r"\d{4}-\d\d-\d\dT")
+_CELLS = re.compile(r";\S[^;]*;|,\S[^,]*,\S[^,]*,|\S {3,}\S|<\S+@\S+>")
 _HEAD = re.compile(r"\s*(?:#|(?:Subject|From|To|Cc|Date):)")
 _BARS = re.compile(r"\s[»·/|>•–]\s")
 _END = re.compile(r"[.!?…:][\"'”’)\]]*$")
@@ -47,81 +49,105 @@ TAILS = {"n_words": "", "mean_word_length": "both", "symbol_share": "high", "end
 MEASURED = "doc_id bigint, lang_used string, " + ", ".join(f"{s} double" for s in STATS)
 
 
-def _running(unit: str, item: bool) -> bool:
-    """Whether a unit (lines joined where they were wrapped) reads as running sentences in normal word order."""
+def _tabular(line: str) -> bool:
+    """Whether a line is a row of a table, an export, a contact list or a table of contents."""
+    if line.count("|") > 1 or "\t" in line or "....." in line:
+        return True
+    if (";" in line or "," in line or "   " in line or "@" in line) and _CELLS.search(line):
+        return True
+    return bool(_STAMPED.match(line) or (("=" in line or ":" in line) and _KEY_VALUE.match(line)))
+
+
+def _running(unit: str, low: list[str], item: bool) -> bool:
+    """Whether a unit (lines joined where they were wrapped) with words ``low`` reads as running sentences in normal word order."""
     words = unit.split()
-    n = len(words)
-    ended = _END.search(unit) is not None
-    if n < (4 if ended and not item else 10) and not (n >= 6 and len(unit) >= LONG and not item):
+    n, k = len(words), len(low)
+    if n < 4 or k < 4:
         return False
-    low = _WORD.findall(unit.lower())
-    if len(low) < 4 or sum(map(len, low)) < LEAST_LETTERS * sum(map(len, words)) - 4 or n - len(low) > MOST_DIGITS * n:
+    if n < (10 if item or _END.search(unit) is None else 4) and (item or n < 6 or len(unit) < LONG):
         return False
-    if sum(map(_ALL.__contains__, low)) < LEAST_FUNCTION * len(low) or len(_BARS.findall(unit)) > 2 + n // 12:
+    letters = sum(map(len, low))
+    if letters < LEAST_LETTERS * (len(unit) - n + 1) - 4 or n - k > MOST_DIGITS * n:
         return False
-    if n >= 12 and len(set(zip(low, low[1:], low[2:], strict=False))) < LEAST_DISTINCT * (len(low) - 2):
+    if sum(map(_ALL.__contains__, low)) < LEAST_FUNCTION * k or len(_BARS.findall(unit)) > 2 + n // 12:
+        return False
+    # each distinct word but the last two begins a distinct triple, so the triples need counting only where words repeat
+    if n >= 12 and len(set(low)) - 2 < LEAST_DISTINCT * (k - 2) and len(set(zip(low, low[1:], low[2:], strict=False))) < LEAST_DISTINCT * (k - 2):
         return False
     pairs = [b for a, b in zip(low, low[1:], strict=False) if a in _DETERMINERS]
     return len(pairs) < 4 or sum(map(_NEVER_AFTER.__contains__, pairs)) < 0.34 * len(pairs)
 
 
-def units(text: str) -> tuple[list[tuple[str, bool, int]], int]:
-    """(unit, is a list item, characters) for the lines that could be sentences, and the characters of headings and mail headers.
+Unit = tuple[str, list[str], bool, int]
+
+
+def units(text: str) -> tuple[list[Unit], list[str], int, int, int]:
+    """Units (text, words, is a list item, characters) of the lines that could be sentences; all words; heading characters; lines, ended lines.
 
     Lines of one block are joined if nearly all were wrapped: the next line's first word would not have fitted on them.
     """
-    out: list[tuple[str, bool, int]] = []
-    block: list[tuple[str, bool, int]] = []
-    heads = 0
+    out: list[Unit] = []
+    block: list[Unit] = []
+    every: list[str] = []
+    heads = lines = ended = 0
 
     def close() -> None:
-        width = max((len(b) for b, _, _ in block), default=0)
-        full = sum(len(b) + 1 + len(c.split(None, 1)[0]) > width for (b, _, _), (c, _, _) in zip(block, block[1:], strict=False))
-        if len(block) > 1 and full >= 0.8 * (len(block) - 1):
-            out.append((" ".join(b for b, _, _ in block), False, sum(size for _, _, size in block) + len(block) - 1))
-        else:
-            out.extend(block)
+        if len(block) > 1:
+            width = max(len(u[0]) for u in block)
+            full = sum(len(u[0]) + 1 + len(v[0].split(None, 1)[0]) > width for u, v in zip(block, block[1:], strict=False))
+            if full >= 0.8 * (len(block) - 1):
+                out.append((" ".join(u[0] for u in block), [w for u in block for w in u[1]], False, sum(u[3] for u in block) + len(block) - 1))
+                block.clear()
+        out.extend(block)
         block.clear()
 
     for line in text.split("\n"):
         body = line.strip()
-        if body[:2] in ("| ", "> ") and "|" not in body[1:]:
+        if not body:
+            close()
+            continue
+        lines += 1
+        ended += _END.search(body[-4:]) is not None
+        if body[0] in "|>" and body[1:2] == " " and "|" not in body[1:]:
             line = body = body[2:].strip()
-        if "\t" in body and body.count("\t") >= SPACED:
+        if body.count("\t") >= SPACED:
             line = body = " ".join(body.split())
-        mark = _MARK.match(line) if body else None
+        low = _WORD.findall(body.lower())
+        every += low
+        mark = _MARK.match(line)
         if mark:
             close()
-            out.append((line[mark.end():].strip(), True, len(line)))
-        elif not body or _HEAD.match(body) or _TABLE.search(body):
+            out.append((line[mark.end():].strip(), low, True, len(line)))
+        elif _HEAD.match(body):
+            close()
+            heads += len(line)
+        elif _tabular(body):
             close()
-            heads += len(line) if body and _HEAD.match(body) else 0
         else:
-            block.append((body, False, len(line)))
+            block.append((body, low, False, len(line)))
     close()
-    return out, heads
+    return out, every, heads, lines, ended
 
 
 def measure(text: str, lang: str | None) -> tuple:
     """The language in use and STATS of one text; a text without words has zeros and share 1 of distinct and ordered pairs."""
+    parts, low, heads, lines, ended = units(text)
     words = text.split()
-    low = _WORD.findall(text.lower())
     n = len(words)
-    solid = sum(map(len, words)) or 1
+    solid = len("".join(words)) or 1
     seen = Counter(low)
-    votes = {k: sum(c for w, c in seen.items() if w in s) for k, s in _SETS.items()}
+    common = {w: seen[w] for w in seen.keys() & _ALL}
+    votes = {k: sum(map(common.__getitem__, s & common.keys())) for k, s in _SETS.items()}
     best = max(votes, key=lambda k: votes[k])
     declared = (lang or "").lower().split("-")[0]
     used = best if votes[best] > votes.get(declared, 0) or declared not in votes else declared
-    lines = [x for x in map(str.strip, text.split("\n")) if x]
     tri = len(low) - 2
     after = [b for a, b in zip(low, low[1:], strict=False) if a in _DETERMINERS]
-    parts, heads = units(text)
-    copies = Counter(u for u, _, _ in parts)
-    running = sum(size for u, item, size in parts if copies[u] <= COPIES and _running(u, item))
+    copies = Counter([u[0] for u in parts])
+    running = sum(size for u, ws, item, size in parts if copies[u] <= COPIES and _running(u, ws, item))
     return (
-        used, float(n), solid / n if n else 0.0, len(_SYMBOL.sub("", text)) / solid, sum(map(bool, map(_END.search, lines))) / max(1, len(lines)),
-        sum(c for w, c in seen.items() if w in _ALL) / max(1, n), sum(map(len, _DIGITS.findall(text))) / solid,
+        used, float(n), solid / n if n else 0.0, len(_SYMBOL.sub("", text)) / solid, ended / max(1, lines),
+        sum(common.values()) / max(1, n), sum(map(len, _DIGITS.findall(text))) / solid,
         len(set(zip(low, low[1:], low[2:], strict=False))) / tri if tri > 0 else 1.0,
         1 - sum(map(_NEVER_AFTER.__contains__, after)) / len(after) if after else 1.0, min(1.0, running / max(1, len(text.strip()) - heads)),
     )
