@@ -20,11 +20,14 @@ def carry_forward(events: DataFrame, changes: DataFrame, key: str, at: str, avai
     time and priority, and the running maximum of each track is carried to the events. Rows with a null key or time on
     the change side never apply; an event with a null key or time gets null tracks, as does one with no earlier change.
 
+    Columns of ``events`` named like a track are replaced. An empty side gives no rows or null tracks.
+
     Keys holding a large share of the rows are cut into slices of time at quantiles of that key's own times: each slice is sorted
     by itself, and the maxima of the earlier slices of its key are brought in from a table of one row per key and slice.
     """
     names = list(tracks)
     spark = events.sparkSession
+    events = events.drop("_at", "_prio", "_slice", "_cuts", "_pieces", *names)
     left = events.withColumn("_at", F.col(at)).withColumn("_prio", F.lit(EVENT)).withColumns({n: F.lit(None).cast(changes.select(c).dtypes[0][1]) for n, c in tracks.items()})
     right = changes.where(F.col(key).isNotNull() & F.col(available).isNotNull()).select(F.col(key), F.col(available).alias("_at"), F.lit(CHANGE).alias("_prio"), *[c.alias(n) for n, c in tracks.items()])
     both = left.unionByName(right, allowMissingColumns=True)

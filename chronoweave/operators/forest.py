@@ -35,7 +35,7 @@ def contract(links: DataFrame, workspace: Workspace, paths: bool = False) -> Dat
     removals are then undone from the last round to the first; each refers only to nodes that outlived its round. A hub's
     children are counted with map-side combination and never gathered. An empty table gives no rows.
     """
-    spark = links.sparkSession
+    links = links.select("id", "parent").where("id is not null")
     extra = ["seg"] if paths else []
     start = links.where("parent is not null")
     roots = links.where("parent is null").select("id")
