@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.operators import graph as g
-from chronoweave.operators import journal, text
+from chronoweave.functions import stable
+from chronoweave.operators import journal, kgbuild, text
 from chronoweave.plans.graph_queries import PRE
 from chronoweave.runtime import Workspace, read_table
 
@@ -130,3 +131,41 @@ def overlapping_spans(spark: SparkSession, folder: str) -> DataFrame:
     m = read_table(spark, folder, "mentions").where("locator is not null").select("artifact_path", "entity_id", F.col("locator.offset").alias("o"), F.col("locator.length").alias("l"), "surface_form").distinct()
     before = Window.partitionBy("artifact_path").orderBy("o", "l", "entity_id", "surface_form").rowsBetween(Window.unboundedPreceding, -1)
     return m.withColumn("held", F.max(F.col("o") + F.col("l")).over(before)).where("o < held").groupBy("artifact_path").agg(F.count(F.lit(1)).alias("n_overlaps"))
+
+
+@query("""
+, s as (select distinct lower(canonical) surface, entity_id from aliases where trim(canonical) <> ''),
+q as (select id, lower(any_value(text)) t from chunks group by id)
+select distinct q.id, entity_id from q join s on contains(t, surface) and regexp_matches(' ' || t || ' ', '[^a-z0-9_]' || regexp_escape(surface) || '[^a-z0-9_]')""", pre=PRE)
+def alias_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    """Which entities the chunks name by their canonical form."""
+    index = read_table(spark, folder, "aliases").select(F.col("canonical").alias("surface"), "entity_id").distinct()
+    return kgbuild.resolve_aliases(read_table(spark, folder, "chunks").groupBy("id").agg(F.max("text").alias("text")), index)
+
+
+@query("""
+with d as (select artifact_path, min(text) t from documents group by artifact_path)
+select m.artifact_path, entity_id, surface_form, greatest(coalesce(locator.line, 1), 1) line, string_split(d.t, chr(10))[greatest(coalesce(locator.line, 1), 1)] snippet from mentions m join d using (artifact_path)""")
+def mention_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of artifacts whose text is here, with the line they stand on."""
+    texts = read_table(spark, folder, "documents").groupBy(F.col("artifact_path").alias("path")).agg(F.min("text").alias("text"))
+    mentions = read_table(spark, folder, "mentions")
+    return kgbuild.snippets(mentions.join(texts.select(F.col("path").alias("artifact_path")), "artifact_path", "left_semi"), texts)
+
+
+@query("""
+, b as (select distinct bundle_id, body from kg_bundles where json_valid(body)),
+m as (select bundle_id, unnest(case json_type(body, '$.mentions') when 'ARRAY' then json_extract(body, '$.mentions[*]') else [] end) x from b)
+select bundle_id, x->>'entity_id' entity_id, count(*) n from m where x->>'entity_id' is not null group by all""", pre=PRE)
+def bundle_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions listed at the top of the bundles, by entity."""
+    rows = read_table(spark, folder, "kg_bundles").select("bundle_id", "body").distinct().withColumn("v", F.expr("try_parse_json(body)"))
+    entries = rows.select("bundle_id", F.explode(F.expr("try_variant_get(v, '$.mentions', 'array<variant>')")).alias("x"))
+    return entries.select("bundle_id", F.expr("try_variant_get(x, '$.entity_id', 'string')").alias("entity_id")).where("entity_id is not null").groupBy("bundle_id", "entity_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def seeded_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    """Reproducible arrival times for every project."""
+    keys = g.TemporalGraph.load(spark, folder).of_type("Project").select(F.col("id").alias("key"))
+    return stable.arrivals(keys, 7, 0.5, 30)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -30,6 +32,17 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_kept: set[str] = set()
+
+
+@atexit.register
+def _tidy() -> None:
+    """Removes what results of this process were kept for, where the driver can reach it."""
+    for path in _kept:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
 class Workspace:
     """Written tables in the shared folder that cut lineage and survive the loss of executors.
 
@@ -66,6 +79,8 @@ class Workspace:
         for path, keep in self._paths.values():
             if not keep or exc[0] is not None:
                 remove_path(self.spark, path)
+            else:
+                _kept.add(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
