@@ -61,12 +61,17 @@ def conflicts(bookings: DataFrame, person: str = "person") -> DataFrame:
 
 
 def gini(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Gini coefficient of the counts of each group: 0 for an empty, single or all-zero group."""
+    """Gini coefficient of the counts of each group: 0 for an empty, single or all-zero group.
+
+    Equal counts are counted together first, so what is sorted per group are its distinct counts, not its members.
+    """
     w = Window.partitionBy(*by)
-    ranked = values.withColumn("_i", F.row_number().over(w.orderBy(value)))
-    n, total = F.count(F.lit(1)), F.sum(value)
-    moment = F.sum((2 * F.col("_i")) * F.col(value)) - (n + 1) * total
-    return ranked.groupBy(*by).agg(n.alias("n"), F.when(total > 0, moment / (n * total)).otherwise(0.0).alias("gini"))
+    runs = values.groupBy(*by, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_m"))
+    placed = runs.withColumn("_below", F.coalesce(F.sum("_m").over(w.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_m").over(w))
+    # the i-th smallest of n weighs 2i - n - 1; over a run of m equal ones above s smaller ones that adds up to m(2s + m - n)
+    moment = F.sum(F.col("_x") * F.col("_m") * (2 * F.col("_below") + F.col("_m") - F.col("_n")))
+    n, total = F.sum("_m"), F.sum(F.col("_x") * F.col("_m"))
+    return placed.groupBy(*by).agg(n.alias("n"), F.when(total > 0, moment / (n * total)).otherwise(0.0).alias("gini"))
 
 
 def cadence(events: DataFrame, by: str = "type") -> DataFrame:

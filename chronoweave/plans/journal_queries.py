@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoweave.operators import graph as g
-from chronoweave.operators import journal, validate
+from chronoweave.operators import asof, journal, validate
 from chronoweave.plans.graph_queries import PRE
 from chronoweave.runtime import read_table
 
@@ -233,13 +233,14 @@ def journal_order(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 , p as (select id, ts, project from j where type = 'QueryRaised'), a as (select id, ts, project from j where type = 'QueryAnswered')
-select a.id, (select p.id from p where p.project = a.project and p.ts < a.ts order by p.ts desc, p.id desc limit 1) asked from a""")
+select a.id, (select p.id from p where p.project = a.project and p.ts < a.ts order by p.ts desc, p.id desc limit 1) asked from a where project is not null""")
 def asof_thread(spark: SparkSession, folder: str) -> DataFrame:
     """Each answer with the last question of its project that was asked strictly earlier."""
-    events = journal_of(spark, folder).where("type in ('QueryRaised', 'QueryAnswered')")
-    strictly = Window.partitionBy("project").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
-    asked = F.max(F.when(F.col("type") == "QueryRaised", F.struct("ts", "id"))).over(strictly)
-    return events.withColumn("asked", asked["id"]).where("type = 'QueryAnswered'").select("id", F.when(F.col("project").isNotNull(), F.col("asked")).alias("asked"))
+    events = journal_of(spark, folder).where("project is not null")
+    asked = events.where("type = 'QueryRaised'").select("project", F.col("ts").alias("asked_at"), F.col("id").alias("question"), (F.col("ts") + F.expr("interval 1 microsecond")).alias("available"))
+    answers = events.where("type = 'QueryAnswered'").select("id", "project", "ts")
+    met = asof.carry_forward(answers, asked, "project", "ts", "available", {"last": F.struct("asked_at", F.col("question").alias("id"))})
+    return met.select("id", F.col("last.id").alias("asked"))
 
 
 @query("""
@@ -305,8 +306,8 @@ select project, id first_event from (select m.project, j.id, row_number() over (
 def condition_fires_once(spark: SparkSession, folder: str) -> DataFrame:
     """Per project the first event at or after its condition (a closed visit) first holds."""
     events = journal_of(spark, folder).where("project is not null")
-    held = F.min(F.when(F.col("type") == "VisitClosed", F.col("ts"))).over(Window.partitionBy("project"))
-    return events.withColumn("held", held).where("ts >= held").groupBy("project").agg(F.min_by("id", F.struct("ts", "id")).alias("first_event"))
+    held = events.where("type = 'VisitClosed'").groupBy("project").agg(F.min("ts").alias("held"))
+    return events.join(held, "project").where("ts >= held").groupBy("project").agg(F.min_by("id", F.struct("ts", "id")).alias("first_event"))
 
 
 @query("select id, arg_max_null(json_extract_string(props, '$.title'), rev) title, arg_max_null(json_extract_string(props, '$.department'), rev) department from nodes where type = 'Person' group by id", pre="")
