@@ -24,6 +24,9 @@ RULES = (
     "name",
 )
 
+#: The rule by which the identifier itself is judged.
+DATE_NAME = RULES.index("date+name")
+
 # Words of the forms that carry no identity.
 TITLES = "dr|prof|mr|mrs|ms"
 #: How a department may begin, by its key.
@@ -149,13 +152,13 @@ def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Wor
     open_ = workspace.put(asked.where("rule > 0").join(labelled.select(F.col("recon_id").alias("id")), "id", "left_anti").join(strangers.select(F.col("recon_id").alias("id")), "id", "left_anti"))
     tests = workspace.put(asked.where("rule > 0").join(labelled.select(F.col("recon_id").alias("id")), "id", "left_semi"))
     found = [labelled]
-    tried = [resolve(3, tests).select("recon_id", F.col("node_id").alias("by_rule"), F.lit(0).alias("rule"))]
     for rule in range(1, len(RULES)):
         gone = reduce(DataFrame.unionByName, [f.select(F.col("recon_id").alias("id")) for f in found[1:]]) if len(found) > 1 else None
         left = open_.join(gone, "id", "left_anti") if gone is not None else open_
         found.append(workspace.put(resolve(rule, left), keep=True))
-        tried.append(resolve(rule, tests).select("recon_id", F.col("node_id").alias("by_rule"), "rule"))
-    judged = reduce(DataFrame.unionByName, tried).join(labelled.select("recon_id", "node_id"), "recon_id")
+    tried = tests.join(known, ["rule", "key"]).groupBy(F.col("id").alias("recon_id"), "rule").agg(F.min("lo").alias("by_rule"), F.max("hi").alias("_hi")).where("by_rule = _hi")
+    dated = tried.where(F.col("rule") == DATE_NAME).withColumn("rule", F.lit(0))
+    judged = tried.unionByName(dated).join(labelled.select("recon_id", "node_id"), "recon_id")
     precision = workspace.put(judged.groupBy("rule").agg(((F.count_if(F.col("by_rule") == F.col("node_id")) + 1) / (F.count(F.lit(1)) + 2)).alias("confidence")), keep=True)
     names = F.create_map(*[F.lit(x) for i, r in enumerate(RULES) for x in (i, r)])
     all_found = reduce(DataFrame.unionByName, found).join(F.broadcast(precision), "rule", "left")
