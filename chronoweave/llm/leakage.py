@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -32,7 +33,7 @@ _TOKEN = re.compile(r"[^\W_]+")
 def words(text: str) -> list[str]:
     """The words of a text without case, markup, punctuation and invisible characters."""
     if not text.isascii():
-        text = _INVISIBLE.sub("", text)
+        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:

@@ -164,7 +164,7 @@ def test_leaks_in_any_dress_and_near_misses(spark):
     run = item[5:20]
     dressed = {
         1: " ".join(run), 2: " ".join(run).upper(), 3: "\n> ".join(run), 4: " ".join(f"<b>{w}</b>" for w in run), 5: ", ".join(f"**{w}**" for w in run), 6: " ".join(w[:2] + "­" + w[2:] for w in run),
-        7: "​ ".join(run), 8: "\t".join(run), 9: " ".join(run[:7]) + " " + run[7][:2] + "-\n" + run[7][2:] + " " + " ".join(run[8:]), 10: "&nbsp;".join(run),
+        7: "​ ".join(run), 8: "\t".join(run), 9: " ".join(run[:7]) + " " + run[7][:2] + "-\n" + run[7][2:] + " " + " ".join(run[8:]), 10: "&nbsp;".join(run), 11: " ".join(chr(0xFEE0 + ord(w[0])) + w[1:] for w in run),
     }
     misses = {20: " ".join(run[:14]), 21: " ".join(run[:7] + ["also"] + run[7:]), 22: " ".join(reversed(run)), 23: " ".join(run[:7] + run[8:])}
     rows = [(i, f"{filler()} {t} {filler()}", "x") for i, t in (dressed | misses).items()] + [(30, None, ""), (31, "", ""), (32, filler() * 200, ""), (33, " ".join(run), ""), (33, " ".join(run), "")]
