@@ -190,5 +190,26 @@ def p6_entries(spark: SparkSession, folder: str) -> DataFrame:
     return flatten.children(_p6(spark, folder)).distinct()
 
 
+def _aslist(x: str) -> str:
+    return f"case when json_type({x}) = 'ARRAY' then json_extract({x}, '$[*]') when {x} is null or json_type({x}) = 'NULL' then [] else [{x}] end"
+
+
+P6_FOUND_SQL = f"""
+with t as (
+  select distinct id rid, 'deliverable' ln, 'sections' inr, deliverable x from run_clinical_study union select id, 'severity', 'history', payload from run_clinical_study
+  union select bundle_id, 'mentions', 'locator', body from kg_bundles),
+v as (select rid, ln, inr, case when json_valid(x) then x::json end j from t),
+u as (select rid, ln, inr, case when json_type(j) <> 'VARCHAR' then j when json_valid(j->>'$') then (j->>'$')::json end j from v),
+w as (select rid, ln, inr, case ln when 'severity' then json_extract(j, '$.severity') when 'mentions' then coalesce(json_extract(j, '$.kg'), j) else j end j from u where j is not null),
+m as (select *, json_extract(j, '$.mentions') mm, json_extract(j, '$.parts') pp from w),
+l as (select rid, ln, inr, case when ln = 'mentions' then list_concat({_aslist('mm')}, flatten(list_transform({_aslist('pp')}, lambda q: {_aslist("json_extract(q, '$.mentions')")}))) else {_aslist('j')} end l from m),
+i as (select rid, ln, inr, unnest(l) x, generate_subscripts(l, 1) - 1 item_no from l),
+k as (select rid, ln, item_no, json_extract(x, '$.' || inr) y from i where json_type(x) <> 'NULL'),
+c as (select rid, ln, item_no, {_aslist('y')} sub from k),
+s as (select rid, ln, item_no, unnest(sub) z, generate_subscripts(sub, 1) - 1 sub_no from c)
+select distinct rid record_id, ln list_name, item_no::integer item_no, sub_no::integer sub_no from (
+  select rid, ln, item_no, -1 sub_no from k union all select rid, ln, item_no, sub_no from s where json_type(z) <> 'NULL')
+"""
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_known, p4_found, p4_hierarchy, p4_descendants, p6_found, p6_items, p6_entries)}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p2_found": P2_FOUND_SQL, "p2_known": P2_KNOWN_SQL, "p4_found": P4_FOUND_SQL, "p4_descendants": P4_DESCENDANTS_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p2_found": P2_FOUND_SQL, "p2_known": P2_KNOWN_SQL, "p6_found": P6_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_descendants": P4_DESCENDANTS_SQL}
