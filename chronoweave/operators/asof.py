@@ -12,6 +12,29 @@ from chronoweave.runtime import hot_keys, shuffle_partitions
 CHANGE, EVENT = 0, 1
 
 
+def _micros(at: str) -> Column:
+    return F.unix_micros(F.col(at).cast("timestamp"))
+
+
+def slice_cuts(rows: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, _cuts) of the keys with more than half a fair partition's rows: the times, from quantiles of the key's own, that cut it into fair slices.
+
+    Keys and cuts together are some for each partition at most, so the result may be broadcast.
+    """
+    slices = max(2, shuffle_partitions(rows.sparkSession))
+    hot = hot_keys(rows, [key])
+    fine = rows.join(F.broadcast(hot), key).groupBy(key).agg(F.max("_pieces").alias("_pieces"), F.percentile_approx(_micros(at), [i / slices for i in range(1, slices)], 20 * slices).alias("_fine"))
+    every_nth = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: F.col("_fine")[F.least((i * slices / F.col("_pieces")).cast("int"), F.lit(slices - 1)) - 1])
+    return fine.select(key, F.when(F.col("_pieces") > 1, F.array_distinct(every_nth)).otherwise(F.array().cast("array<bigint>")).alias("_cuts"))
+
+
+def with_slice(rows: DataFrame, cuts: DataFrame, key: str, at: str) -> DataFrame:
+    """``rows`` with _slice: how many cuts of its key lie before it; 0 for keys without cuts. Equal times share a slice."""
+    met = rows.join(F.broadcast(cuts), key, "left").withColumn("_at_micros", _micros(at))
+    passed = F.size(F.filter("_cuts", lambda c: c < F.col("_at_micros")))
+    return met.withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(passed)).drop("_cuts", "_at_micros")
+
+
 def carry_forward(events: DataFrame, changes: DataFrame, key: str, at: str, available: str, tracks: dict[str, Column]) -> DataFrame:
     """``events`` with one column per track: the best change among those available no later than the event.
 
@@ -26,29 +49,16 @@ def carry_forward(events: DataFrame, changes: DataFrame, key: str, at: str, avai
     by itself, and the maxima of the earlier slices of its key are brought in from a table of one row per key and slice.
     """
     names = list(tracks)
-    spark = events.sparkSession
     events = events.drop("_at", "_prio", "_slice", "_cuts", "_pieces", *names)
     left = events.withColumn("_at", F.col(at)).withColumn("_prio", F.lit(EVENT)).withColumns({n: F.lit(None).cast(changes.select(c).dtypes[0][1]) for n, c in tracks.items()})
     right = changes.where(F.col(key).isNotNull() & F.col(available).isNotNull()).select(F.col(key), F.col(available).alias("_at"), F.lit(CHANGE).alias("_prio"), *[c.alias(n) for n, c in tracks.items()])
     both = left.unionByName(right, allowMissingColumns=True)
 
-    slim = left.select(key, "_at").unionByName(right.select(key, "_at"))
-    hot = hot_keys(slim, [key])
-    slices = max(2, shuffle_partitions(spark))
-    micros = F.unix_micros(F.col("_at").cast("timestamp"))
-    fine = slim.join(F.broadcast(hot), key).groupBy(key).agg(F.max("_pieces").alias("_pieces"), F.percentile_approx(micros, [i / slices for i in range(1, slices)], 20 * slices).alias("_fine"))
-    every_nth = F.transform(F.sequence(F.lit(1), F.col("_pieces") - 1), lambda i: F.col("_fine")[F.least((i * slices / F.col("_pieces")).cast("int"), F.lit(slices - 1)) - 1])
-    cuts = fine.select(key, F.when(F.col("_pieces") > 1, F.array_distinct(every_nth)).otherwise(F.array().cast("array<bigint>")).alias("_cuts"))
-    sliced = both.join(F.broadcast(cuts), key, "left").withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < micros)), F.lit(0))).withColumn(
-        "_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(F.col("_slice"))
-    ).drop("_cuts")
+    cuts = slice_cuts(left.select(key, "_at").unionByName(right.select(key, "_at")), key, "_at")
+    sliced = with_slice(both, cuts, key, "_at")
 
     earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    summary = (
-        right.join(F.broadcast(cuts), key)
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < micros)))
-        .groupBy(key, "_slice").agg(*[F.max(n).alias(n) for n in names])
-    )
+    summary = with_slice(right.join(F.broadcast(cuts.select(key)), key, "left_semi"), cuts, key, "_at").groupBy(key, "_slice").agg(*[F.max(n).alias(n) for n in names])
     every = cuts.select(key, F.explode(F.sequence(F.lit(0), F.size("_cuts"))).alias("_slice")).join(summary, [key, "_slice"], "left")
     before = every.select(key, "_slice", *[F.max(n).over(earlier).alias(f"_before_{n}") for n in names])
 

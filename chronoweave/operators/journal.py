@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.operators.asof import slice_cuts, with_slice
+
 #: The working day in minutes from midnight, Monday to Friday.
 OPEN, CLOSE = 9 * 60, 17 * 60
 
@@ -51,13 +53,21 @@ def working_seconds(text: Column) -> Column:
 def conflicts(bookings: DataFrame, person: str = "person") -> DataFrame:
     """Bookings that start before the latest end so far of the same person, with the booking that holds that end.
 
-    Touching is no conflict; among equal ends the first holds. Rows without a person or a time are skipped.
+    Touching is no conflict; among equal ends the first holds. Rows without a person or a time are skipped. People with very
+    many bookings are cut into slices of time; the latest end of the slices before is brought in from one row a slice.
     """
-    w = Window.partitionBy(person).orderBy("start", "end", "id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = bookings.where(F.col(person).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).withColumn("rn", F.row_number().over(w))
-    marked = rows.withColumn("held", F.max("end").over(before)).withColumn("conflicts_with", F.max_by("id", F.struct("end", -F.col("rn"))).over(before))
-    return marked.where("start < held").select("id", person, "start", "end", "conflicts_with")
+    rows = bookings.where(F.col(person).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select("id", person, "start", "end")
+    cuts = slice_cuts(rows.select(person, "start"), person, "start")
+    sliced = with_slice(rows, cuts, person, "start")
+    earlier = Window.partitionBy(person).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = sliced.join(F.broadcast(cuts.select(person)), person, "left_semi").groupBy(person, "_slice").agg(F.max("end").alias("_e"))
+    carried = ends.select(person, "_slice", F.max("_e").over(earlier).alias("_carried"))
+    here = Window.partitionBy(person, "_slice").orderBy("start", "end", "id").rowsBetween(Window.unboundedPreceding, -1)
+    held = sliced.withColumn("_here", F.max("end").over(here)).join(F.broadcast(carried), [person, "_slice"], "left").withColumn("held", F.greatest("_here", "_carried"))
+    late = held.where("start < held").select("id", person, "start", "end", "held")
+    # the holder is the first booking with that end; it comes before this one, since the running maximum was reached there
+    holders = rows.groupBy(person, F.col("end").alias("held")).agg(F.min_by("id", F.struct("start", "id")).alias("conflicts_with"))
+    return late.join(holders, [person, "held"]).select("id", person, "start", "end", "conflicts_with")
 
 
 def gini(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:

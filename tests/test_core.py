@@ -143,10 +143,12 @@ def brute_conflicts(rows):
     return out
 
 
-def test_conflicts_against_brute_force(spark):
+@pytest.mark.parametrize("n", [60, 9000])
+def test_conflicts_against_brute_force(spark, n):
+    """With the larger number a person is cut into slices."""
     rng = random.Random(1)
-    rows = [(i, rng.choice("ab"), s := D(1) + dt.timedelta(minutes=10 * rng.randrange(40)), s + dt.timedelta(minutes=10 * rng.randrange(1, 6))) for i in range(60)]
-    df = spark.createDataFrame([*rows, (99, None, D(1), D(2))], "id int, person string, start timestamp_ntz, end timestamp_ntz")
+    rows = [(i, rng.choice("aab"), s := D(1) + dt.timedelta(minutes=10 * rng.randrange(n)), s + dt.timedelta(minutes=10 * rng.randrange(1, 6))) for i in range(n)]
+    df = spark.createDataFrame([*rows, (99_999, None, D(1), D(2))], "id int, person string, start timestamp_ntz, end timestamp_ntz")
     assert {r.id: r.conflicts_with for r in journal.conflicts(df).collect()} == brute_conflicts(rows)
 
 
