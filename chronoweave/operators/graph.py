@@ -23,18 +23,21 @@ class TemporalGraph:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> TemporalGraph:
-        """The last revision of every node, and every edge and event once."""
+        """The last revision of every node, and every edge and event once.
+
+        What copies share is grouped by, not picked from them, so filters on it reach the Parquet scan and sums are hashed.
+        """
         n = read_table(spark, folder, "nodes").withColumn("created", iso("created_at"))
-        nodes = n.groupBy("id").agg(
-            *[F.max_by(c, "rev").alias(c) for c in ("type", "created", "props")],
+        nodes = n.groupBy("id", "type").agg(
+            *[F.max_by(c, "rev").alias(c) for c in ("created", "props")],
             # copies of one revision may lack the aliases
             F.max_by("aliases", F.struct("rev", F.coalesce("aliases", F.array()))).alias("aliases"), F.max(naive("deleted_at")).alias("deleted_at")
         )
         e = read_table(spark, folder, "edges").withColumn("created", iso("created_at"))
-        edges = e.groupBy("id").agg(*[F.max(c).alias(c) for c in ("type", "src", "dst", "created", "props")])
+        edges = e.groupBy("id", "type", "src", "dst").agg(*[F.max(c).alias(c) for c in ("created", "props")])
         j = read_table(spark, folder, "run_clinical_study").withColumn("ts", iso("timestamp"))
-        events = j.groupBy("id").agg(
-            *[F.max(c).alias(c) for c in ("type", "ts", "initiative", "project", "deliverable", "parent_event", "payload")],
+        events = j.groupBy("id", "type", "project").agg(
+            *[F.max(c).alias(c) for c in ("ts", "initiative", "deliverable", "parent_event", "payload")],
             F.first("actors", ignorenulls=True).alias("actors"), F.first("subjects", ignorenulls=True).alias("subjects"),
         )
         return cls(nodes, edges, events)
@@ -175,4 +178,4 @@ def matches(field: Column, op: str, value: object) -> Column:
         "eq": lambda: field == F.lit(value), "ne": lambda: field != F.lit(value), "in": lambda: field.isin(*value),  # type: ignore[misc]
         "contains": lambda: field.contains(F.lit(value)), "gte": lambda: field >= F.lit(value), "lte": lambda: field <= F.lit(value),
     }[op]()
-    return F.coalesce(field.isNotNull() & test, F.lit(False))
+    return field.isNotNull() & test  # false and null is false, and the scan understands both parts
