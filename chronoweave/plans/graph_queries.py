@@ -108,9 +108,13 @@ def alias_rows(spark: SparkSession, folder: str) -> DataFrame:
 , p as (select src id, dst nb, 'out' d from e union select dst, src, 'in' from e union select src, dst, 'both' from e union select dst, src, 'both' from e)
 select d direction, p.id, count(distinct nb) n, string_agg(distinct nb, '|' order by nb) neighbors from p where p.id is not null and nb in (select id from n) and p.id like 'team:%' group by d, p.id""")
 def neighbors(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbours of every entity in the three directions. A pair is made distinct and looked up once for all of them."""
     t = g.TemporalGraph.load(spark, folder)
-    each = [t.neighbors(d).withColumn("direction", F.lit(d)) for d in ("out", "in", "both")]
-    return reduce(DataFrame.unionByName, each).where("id like 'team:%'").groupBy("direction", "id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("neighbor")), "|").alias("neighbors"))
+    edges = read_table(spark, folder, "edges")  # copies of an edge give the same pair
+    pairs = edges.select(F.col("src").alias("id"), F.col("dst").alias("neighbor"), F.lit(True).alias("out")).unionByName(edges.select(F.col("dst").alias("id"), F.col("src").alias("neighbor"), F.lit(False).alias("out")))
+    ways = F.when(F.bool_and("out"), F.array(F.lit("out"), F.lit("both"))).when(~F.bool_or("out"), F.array(F.lit("in"), F.lit("both"))).otherwise(F.array(F.lit("out"), F.lit("in"), F.lit("both")))
+    met = pairs.where("id is not null and neighbor is not null").groupBy("neighbor", "id").agg(ways.alias("ways")).join(t.nodes.select(F.col("id").alias("neighbor")), "neighbor", "left_semi")
+    return met.select(F.explode("ways").alias("direction"), "id", "neighbor").groupBy("direction", "id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("neighbor")), "|").alias("neighbors"))
 
 
 @query("""
