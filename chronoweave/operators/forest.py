@@ -94,6 +94,16 @@ def contract(links: DataFrame, workspace: Workspace, paths: bool = False) -> Dat
     return reduce(DataFrame.unionByName, solved)
 
 
+def below_circles(links: DataFrame, solved: DataFrame, workspace: Workspace) -> DataFrame:
+    """Ids on circles or below them as forests of their own: root is the circle member an id hangs on, depth and path count from it.
+
+    ``solved`` is what ``contract`` gave with paths. A member is its own root at depth 0: around a circle nobody is above anybody.
+    """
+    members = solved.where("circle is not null").select(F.explode("circle").alias("id"), F.lit(True).alias("member"))
+    inside = links.select("id", "parent").join(solved.where("depth < 0").select("id"), "id", "left_semi").join(members, "id", "left")
+    return contract(workspace.put(inside.select("id", F.when(F.col("member").isNull(), F.col("parent")).alias("parent")), keep=True), workspace, paths=True)
+
+
 def descendants(solved: DataFrame) -> DataFrame:
     """(ancestor, descendant, distance) of every pair, from the paths; the output itself, not a join, is what grows with depth."""
     return solved.where("depth > 0").select(F.col("id").alias("descendant"), "depth", F.posexplode(F.slice("path", 1, F.size("path") - 1)).alias("pos", "ancestor")).select(

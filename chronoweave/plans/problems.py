@@ -127,13 +127,14 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event with root, depth, path and number of descendants; on a circle its members instead of a path."""
+    """Every event with root, depth, path and number of descendants; on a circle its members instead of a path, below one the path from the member."""
     with Workspace(spark, "p4") as ws:
         links = ws.put(forest.parent_links(read_table(spark, folder, "run_clinical_study"), "id", "parent_event"), keep=True)
         solved = forest.contract(links.select("id", "parent"), ws, paths=True)
-        below = forest.descendants(solved).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
-        return solved.join(below, "id", "left").select(
-            F.col("id").alias("event_id"), F.col("root").alias("root_id"), F.col("depth").cast("int"), F.array_join("path", ">").alias("path"),
+        hung = forest.below_circles(links, solved, ws)
+        below = forest.descendants(solved).unionByName(forest.descendants(hung)).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
+        return solved.join(hung.where("depth > 0").select("id", F.col("path").alias("from_circle")), "id", "left").join(below, "id", "left").select(
+            F.col("id").alias("event_id"), F.col("root").alias("root_id"), F.col("depth").cast("int"), F.array_join(F.coalesce("path", "from_circle"), ">").alias("path"),
             F.array_join(F.array_sort("circle"), ">").alias("circle"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"),
         )
 
@@ -141,7 +142,8 @@ def p4_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
 def p4_descendants(spark: SparkSession, folder: str) -> DataFrame:
     with Workspace(spark, "p4") as ws:
         links = ws.put(forest.parent_links(read_table(spark, folder, "run_clinical_study"), "id", "parent_event"), keep=True)
-        return forest.descendants(forest.contract(links.select("id", "parent"), ws, paths=True))
+        solved = forest.contract(links.select("id", "parent"), ws, paths=True)
+        return forest.descendants(solved).unionByName(forest.descendants(forest.below_circles(links, solved, ws)))
 
 
 P4_SQL = """
