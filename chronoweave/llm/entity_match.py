@@ -133,13 +133,15 @@ def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Wor
     Each pass joins the records still open on one rule's key, takes those whose keys name exactly one node and leaves them out
     of later passes. The first source is reduced to one row per key beforehand, so a name or date shared by any number of
     entities is one ambiguous row, never a product. A record that gives an identifier unknown to the first source
-    (a mail handle, a code) names someone else, whatever name, desk or date it shares, and is left out.
+    (a mail handle, a code) names someone else, whatever name, desk or date it shares, and is left out. Where the identifier is
+    known but names several nodes, the first weaker rule that leaves one of these decides.
 
     Records resolved by identifier label the other rules: a rule's confidence is (right + 1) / (tried + 2) over the labelled
     records its key would have resolved; the identifier's own is the same figure for the agreement of dates.
     Null or blank names, null ids and broken props match nothing; repeated rows count once; empty tables give no rows.
     """
-    known = workspace.put(_keys(node_forms(nodes, aliases)).groupBy("rule", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
+    node_keys = workspace.put(_keys(node_forms(nodes, aliases)))
+    known = workspace.put(node_keys.groupBy("rule", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")))
     forms = workspace.put(other_forms(recon))
     asked = workspace.put(_keys(forms))
 
@@ -148,14 +150,22 @@ def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Wor
         return hits.groupBy(F.col("id").alias("recon_id")).agg(F.min("lo").alias("node_id"), F.max("hi").alias("_hi")).where("node_id = _hi").select("recon_id", "node_id", F.lit(rule).alias("rule"))
 
     labelled = workspace.put(resolve(0, asked), keep=True)
-    strangers = asked.where("rule = 0").select(F.col("id").alias("recon_id")).distinct().join(labelled, "recon_id", "left_anti")
-    open_ = workspace.put(asked.where("rule > 0").join(labelled.select(F.col("recon_id").alias("id")), "id", "left_anti").join(strangers.select(F.col("recon_id").alias("id")), "id", "left_anti"))
+    identified = asked.where("rule = 0").select(F.col("id").alias("recon_id")).distinct().join(labelled, "recon_id", "left_anti")
+    open_ = workspace.put(asked.where("rule > 0").join(labelled.select(F.col("recon_id").alias("id")), "id", "left_anti").join(identified.select(F.col("recon_id").alias("id")), "id", "left_anti"))
     tests = workspace.put(asked.where("rule > 0").join(labelled.select(F.col("recon_id").alias("id")), "id", "left_semi"))
     found = [labelled]
     for rule in range(1, len(RULES)):
         gone = reduce(DataFrame.unionByName, [f.select(F.col("recon_id").alias("id")) for f in found[1:]]) if len(found) > 1 else None
         left = open_.join(gone, "id", "left_anti") if gone is not None else open_
         found.append(workspace.put(resolve(rule, left), keep=True))
+    # a known identifier that names several nodes: the weaker rules choose among its bearers, keyed by the identifier too
+    torn = asked.where("rule = 0").join(known.where("rule = 0").select("key"), "key", "left_semi").join(identified.select(F.col("recon_id").alias("id")), "id", "left_semi").select("id", F.col("key").alias("identifier"))
+    torn = workspace.put(torn.join(asked.where("rule > 0"), "id"))
+    bearers = node_keys.where("rule = 0").select("id", F.col("key").alias("identifier")).join(torn.select("identifier").distinct(), "identifier", "left_semi")
+    theirs = bearers.join(node_keys.where("rule > 0"), "id").groupBy("identifier", "rule", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    chosen = torn.join(theirs, ["identifier", "rule", "key"]).groupBy(F.col("id").alias("recon_id"), "rule").agg(F.min("lo").alias("node_id"), F.max("hi").alias("_hi")).where("node_id = _hi")
+    first = chosen.groupBy("recon_id").agg(F.min(F.struct("rule", "node_id")).alias("x"))
+    found.append(workspace.put(first.select("recon_id", "x.node_id", "x.rule"), keep=True))
     tried = tests.join(known, ["rule", "key"]).groupBy(F.col("id").alias("recon_id"), "rule").agg(F.min("lo").alias("by_rule"), F.max("hi").alias("_hi")).where("by_rule = _hi")
     dated = tried.where(F.col("rule") == DATE_NAME).withColumn("rule", F.lit(0))
     judged = tried.unionByName(dated).join(labelled.select("recon_id", "node_id"), "recon_id")
