@@ -66,7 +66,7 @@ def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     with Workspace(spark, "p9") as ws:
-        return ws.put(quality.outlier_scores(ws.put(quality.statistics(read_table(spark, folder, "documents"))), ws), keep=True)
+        return ws.put(quality.outlier_scores(ws.put(quality.keyed_statistics(read_table(spark, folder, "documents"))), ws), keep=True)
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -154,11 +154,11 @@ def measure(text: str, lang: str | None) -> tuple:
 
 
 def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.string(), *[pa.float64()] * len(STATS)]
-    names = ["doc_id", "lang_used", *STATS]
+    kinds = [pa.int64(), pa.string(), *[pa.float64()] * len(STATS), pa.int64()]
+    names = ["doc_id", "lang_used", *STATS, "text_key"]
     known: dict[tuple[str, str | None], tuple] = {}
     for batch in batches:
-        ids, texts, langs = (batch.column(i).to_pylist() for i in range(3))
+        ids, texts, langs, text_keys = (batch.column(i).to_pylist() for i in range(4))
         rows = []
         for key in zip(texts, langs, strict=True):
             got = known.get(key)
@@ -167,28 +167,35 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     known.clear()
                 got = known[key] = measure(*key)
             rows.append(got)
-        columns = [ids, *map(list, zip(*rows, strict=True))] if rows else [[] for _ in kinds]
+        columns = [ids, *map(list, zip(*rows, strict=True)), text_keys] if rows else [[] for _ in kinds]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def keyed_statistics(documents: DataFrame) -> DataFrame:
+    """``statistics`` with text_key, equal for copies of a text."""
+    return documents.where("trim(translate(text, '\\n\\t\\r', '   ')) <> ''").select(F.col("doc_id").cast("bigint"), "text", "lang", F.xxhash64("text").alias("text_key")).mapInArrow(_measure_batches, f"{MEASURED}, text_key bigint")
+
+
 def statistics(documents: DataFrame) -> DataFrame:
     """(doc_id, lang_used, STATS...) of every document with a non-blank text. One pass, no shuffle; whole texts.
 
     Null and blank texts have no row. A wrong or null lang is replaced by the language whose function words prevail.
     """
-    return documents.where("trim(translate(text, '\\n\\t\\r', '   ')) <> ''").select(F.col("doc_id").cast("bigint"), "text", "lang").mapInArrow(_measure_batches, MEASURED)
+    return keyed_statistics(documents).drop("text_key")
 
 
 def tails(measured: DataFrame, workspace: Workspace) -> DataFrame:
-    """(stat, lang_used, value, low_tail, high_tail, n_rows): exact empirical tail probabilities of every value within its language.
+    """(stat, lang_used, value, low_tail, high_tail, n_rows, n_docs): exact empirical tail probabilities of every value within its language.
 
     Equal values are counted together first, so a value that a third of the documents share is one row. The distinct values
     are range-partitioned by (stat, language, value) and sorted; a value's rank is its place in its partition plus
     the offset of the partitions before it, which come from one small row per partition, statistic and language.
+    A row of ``measured`` counts once in the ranks; ``n_docs`` adds up its column copies where it has one.
     """
     spark = measured.sparkSession
-    long = measured.select("lang_used", F.expr("stack(%d, %s) as (stat, value)" % (len(STATS), ", ".join(f"'{s}', {s}" for s in STATS))))
-    values = workspace.put(long.groupBy("stat", "lang_used", "value").agg(F.count(F.lit(1)).alias("n_rows")))
+    copies = F.col("copies") if "copies" in measured.columns else F.lit(1)
+    long = measured.select("lang_used", copies.alias("copies"), F.expr("stack(%d, %s) as (stat, value)" % (len(STATS), ", ".join(f"'{s}', {s}" for s in STATS))))
+    values = workspace.put(long.groupBy("stat", "lang_used", "value").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("copies").alias("n_docs")))
     ranged = workspace.put(values.repartitionByRange(shuffle_partitions(spark), "stat", "lang_used", "value").withColumn("pid", F.spark_partition_id()))
     before = Window.partitionBy("stat", "lang_used").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("stat", "lang_used")
@@ -198,15 +205,20 @@ def tails(measured: DataFrame, workspace: Workspace) -> DataFrame:
     place = Window.partitionBy("stat", "lang_used", "pid").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranged.withColumn("upto", F.sum("n_rows").over(place)).join(F.broadcast(offsets), ["stat", "lang_used", "pid"])
     rank = F.col("offset") + F.col("upto")
-    return ranked.select("stat", "lang_used", "value", (rank / F.col("total")).alias("low_tail"), ((F.col("total") - rank + F.col("n_rows")) / F.col("total")).alias("high_tail"), "n_rows")
+    return ranked.select("stat", "lang_used", "value", (rank / F.col("total")).alias("low_tail"), ((F.col("total") - rank + F.col("n_rows")) / F.col("total")).alias("high_tail"), "n_rows", "n_docs")
 
 
 def outlier_scores(measured: DataFrame, workspace: Workspace) -> DataFrame:
     """``measured`` with score: the sum over the statistics of -ln of the tail that speaks against prose.
 
+    With a text_key, copies of a text count once in the ranks of their language, so a text isn't the norm by being repeated.
     Values shared by many documents are salted in the join back to the documents, on both sides and by their known counts.
     """
-    by_value = workspace.put(tails(measured, workspace))
+    ranked = measured
+    if "text_key" in measured.columns:
+        ranked = measured.groupBy("text_key", "lang_used").agg(*[F.first(s).alias(s) for s in STATS], F.count(F.lit(1)).alias("copies"))
+        measured = measured.drop("text_key")
+    by_value = workspace.put(tails(ranked, workspace))
     keys = ["stat", "lang_used", "value"]
     sides = {"low": F.col("low_tail"), "high": F.col("high_tail"), "both": F.least(F.lit(1.0), 2 * F.least("low_tail", "high_tail"))}
     case = F.lit(0.0)
@@ -215,8 +227,8 @@ def outlier_scores(measured: DataFrame, workspace: Workspace) -> DataFrame:
             case = F.when(F.col("stat") == stat, -F.log(sides[side])).otherwise(case)
     spark = measured.sparkSession
     parts = shuffle_partitions(spark)
-    fair = by_value.agg(F.greatest(F.sum("n_rows") / parts, F.lit(2000.0)).alias("fair"))
-    pieces = by_value.crossJoin(F.broadcast(fair)).withColumn("pieces", F.least(F.ceil(F.col("n_rows") / F.col("fair")), F.lit(parts)).cast("int")).withColumn("part", case)
+    fair = by_value.agg(F.greatest(F.sum("n_docs") / parts, F.lit(2000.0)).alias("fair"))
+    pieces = by_value.crossJoin(F.broadcast(fair)).withColumn("pieces", F.least(F.ceil(F.col("n_docs") / F.col("fair")), F.lit(parts)).cast("int")).withColumn("part", case)
     hot = pieces.where("pieces > 1").select(*keys, "pieces")  # at most two a partition, as their rows are counted
     right = pieces.select(*keys, "part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("salt"))
     long = measured.select("doc_id", "lang_used", F.expr("stack(%d, %s) as (stat, value)" % (len(STATS), ", ".join(f"'{s}', {s}" for s in STATS))))
@@ -225,7 +237,10 @@ def outlier_scores(measured: DataFrame, workspace: Workspace) -> DataFrame:
     return measured.join(total, "doc_id")
 
 
-def no_prose(documents: DataFrame, workspace: Workspace, least_score: float = 2.0, least_share: float = 0.5) -> DataFrame:
-    """Documents that are no natural prose: outliers by score, confirmed by an exact count of the characters in running sentences."""
-    measured = workspace.put(statistics(documents), keep=True)
-    return outlier_scores(measured, workspace).where((F.col("score") >= least_score) & (F.col("prose_share") < least_share))
+def no_prose(documents: DataFrame, workspace: Workspace, least_share: float = 0.5) -> DataFrame:
+    """Documents that are no natural prose by an exact count of the characters in running sentences, each with its score.
+
+    The score says how unusual a document is and loses none: where junk is common no tail of it is small.
+    """
+    measured = workspace.put(keyed_statistics(documents), keep=True)
+    return outlier_scores(measured, workspace).where(F.col("prose_share") < least_share)
