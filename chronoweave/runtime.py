@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -17,14 +17,23 @@ BROADCAST_LIMIT = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that setting is missing (tests, one machine)."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local one if the master is this one process (tests), else an error:
+
+    on a cluster each executor would write to its own disk, and what it wrote would be lost to the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or _own_folder()
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
+    return _own_folder()
 
 
 @cache
 def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="chronoweave-")
+    folder = tempfile.mkdtemp(prefix="chronoweave-")
+    return f"file://{folder}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -32,15 +41,20 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_kept: set[str] = set()
+#: Paths that results of this process still read, with the session that can delete them.
+_kept: dict[str, SparkSession] = {}
+
+
+def tidy() -> None:
+    """Deletes what results were kept for, on whatever file system it lies. Runs when the driver's process ends or the caller is done with all results."""
+    while _kept:
+        path, spark = _kept.popitem()
+        with contextlib.suppress(Exception):  # a session that is gone must not keep the process from ending
+            remove_path(spark, path)
 
 
-@atexit.register
-def _tidy() -> None:
-    """Removes what results of this process were kept for, where the driver can reach it."""
-    for path in _kept:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+# registered after Spark's own handlers, and so run before them, while the JVM still answers
+atexit.register(tidy)
 
 
 class Workspace:
@@ -80,7 +94,7 @@ class Workspace:
             if not keep or exc[0] is not None:
                 remove_path(self.spark, path)
             else:
-                _kept.add(path)
+                _kept[path] = self.spark
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
