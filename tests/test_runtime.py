@@ -19,17 +19,14 @@ def test_a_local_folder_is_refused_on_a_cluster():
     assert runtime.shared_folder(session("local[4]")).startswith("file:///")
 
 
-def test_kept_tables_go_through_the_file_system(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        with runtime.Workspace(spark, "t") as ws:
-            kept, gone = ws.put(spark.range(3), keep=True), ws.put(spark.range(2))
-            assert gone.count() == 2
-        assert kept.count() == 3 and len(list((tmp_path / "shared").glob("*/t*"))) == 1
-        with pytest.raises(ValueError), runtime.Workspace(spark, "t") as ws:
-            ws.put(spark.range(3), keep=True)
-            raise ValueError
-        runtime.tidy()
-        assert not list((tmp_path / "shared").glob("*/t*"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_kept_tables_go_through_the_file_system(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(runtime, "shared_folder", lambda _: str(tmp_path / "shared"))  # no scheme: the session's default file system
+    with runtime.Workspace(spark, "t") as ws:
+        kept, gone = ws.put(spark.range(3), keep=True), ws.put(spark.range(2))
+        assert gone.count() == 2
+    assert kept.count() == 3 and len(list((tmp_path / "shared").glob("*/t*"))) == 1
+    with pytest.raises(ValueError), runtime.Workspace(spark, "t") as ws:
+        ws.put(spark.range(3), keep=True)
+        raise ValueError
+    runtime.tidy()
+    assert not list((tmp_path / "shared").glob("*/t*"))
