@@ -52,7 +52,7 @@ def p8_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_leaks(spark, folder).where("whole").select("doc_id", "item_id").distinct()
+    return p8_leaks(spark, folder).where("whole and n_words >= 15").select("doc_id", "item_id").distinct()
 
 
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text: CGK embedding and bit-sampling LSH over item-sized windows, then exact checks.
 
-A window is a run of words. The CGK random walk reads a window with pauses decided by random bits of the word it stands on
-and so turns edits of few words into few differing positions; tables of sampled positions then make windows within the
-allowed number of edits collide. The evaluation set is the stated query set: it is processed in blocks of bounded size, each
-sent to the executors as an index, against all documents, which are read where they lie and never shuffled.
+A window is a run of words: as many as an item's passage has, but no more than the plan's, since a part of a passage that long
+is a leak. The CGK random walk reads a window with pauses decided by random bits of the word it stands on and so turns edits of
+few words into few differing positions; tables of sampled positions then make windows within the allowed number of edits
+collide. Passages shorter than the plan's window are matched whole and without edits. The evaluation set is the stated query set: it
+is cut into blocks of bounded size, and one pass over the documents, which are never shuffled, holds every block against each.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import html
 import math
 import re
 import unicodedata
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,9 @@ from pyspark.sql import functions as F
 
 #: Characters of evaluation text per block; one block's index takes about a hundred times as many bytes.
 BLOCK_CHARS = 2_000_000
-MATCHED = "doc_id bigint, item_id bigint, doc_word int, item_word int, edits int, whole boolean"
+#: Characters of documents that are held against one block before the next block's turn, and the blocks whose indexes a worker keeps.
+HELD_CHARS, KEPT_INDEXES = 8_000_000, 2
+MATCHED = "doc_id bigint, item_id bigint, doc_word int, item_word int, n_words int, edits int, whole boolean"
 
 _INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
 _TAG = re.compile(r"</?[A-Za-z][^<>@]{0,80}>")
@@ -47,7 +52,7 @@ class Plan:
 
     window: int = 15
     edits: int = 2
-    sampled: int = 10
+    sampled: int = 7
     recall: float = 0.98
     seed: int = 20_240
 
@@ -57,39 +62,52 @@ class Plan:
 
     @property
     def tables(self) -> int:
-        """Enough for ``recall`` at ``edits`` edits, each of which is reckoned to change a tenth of the positions, at least two tables."""
-        same = max(0.05, 1 - self.edits / 10) ** self.sampled
+        """Enough for ``recall`` at ``edits`` edits, each of which is reckoned to change a seventh of the positions (tests measure it), at least two tables."""
+        same = max(0.05, 1 - self.edits / 7) ** self.sampled
         return max(2, math.ceil(math.log(1 - self.recall) / math.log(1 - same)))
 
 
-def embed(symbols: np.ndarray, starts: np.ndarray, plan: Plan, table: int, vocabulary: int) -> np.ndarray:
+def embed(symbols: np.ndarray, starts: np.ndarray, plan: Plan, steps: np.ndarray, taken: np.ndarray) -> np.ndarray:
     """LSH keys of the windows at ``starts`` for one table: sampled positions of their CGK walks, mixed to 64 bits.
 
-    ``symbols`` are word numbers from 0 to ``vocabulary``; beyond its window a walk reads a symbol of its own.
+    ``symbols`` are word numbers; bit j of ``steps[s]`` says whether the walk leaves symbol s at its step j, and beyond its
+    window a walk reads the last symbol of ``steps``. ``taken`` are the sampled steps in rising order.
     """
-    rng = np.random.default_rng((plan.seed, table))
-    step = rng.integers(0, 2, (plan.length, vocabulary + 2), dtype=np.int8)
-    taken = np.sort(rng.choice(plan.length, plan.sampled, replace=False))
+    outside = len(steps) - 1
+    last = len(symbols) - 1
     at = np.zeros(len(starts), np.int64)
     key = np.zeros(len(starts), np.uint64)
+    sampled = set(taken.tolist())
     for j in range(int(taken[-1]) + 1):
         inside = at < plan.window
-        here = np.where(inside, symbols[np.minimum(starts + at, len(symbols) - 1)], vocabulary + 1)
-        if j in taken:
+        here = np.where(inside, symbols[np.minimum(starts + at, last)], outside)
+        if j in sampled:
             key = (key ^ (here.astype(np.uint64) + np.uint64(j * 0x9E3779B1))) * np.uint64(0xFF51AFD7ED558CCD)
             key ^= key >> np.uint64(29)
-        at += np.where(inside, step[j, here], 0)
+        at += ((steps[here] >> np.uint64(j)) & np.uint64(1)).astype(np.int64) * inside
+    return key
+
+
+def _run_keys(symbols: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit key of the ``length`` symbols from each start."""
+    key = np.zeros(len(starts), np.uint64)
+    for j in range(length):
+        key = (key ^ symbols[starts + j].astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(29)
     return key
 
 
 class Index:
-    """Every window of the given items under every table, and the vocabulary of the items."""
+    """Every window of the given items under every table, the items shorter than a window by their length, and the vocabulary of all."""
 
     def __init__(self, items: list[tuple[int, str]], plan: Plan):
         self.plan = plan
-        kept = [(i, w) for i, p in items if p and len(w := words(p)) >= plan.window]
+        split = [(i, w) for i, p in items if p and (w := words(p))]
+        kept = [(i, w) for i, w in split if len(w) >= plan.window]
         self.items = dict(kept)
-        self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(x for _, ws in kept for x in ws), 1)}
+        self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(x for _, ws in split for x in ws), 1)}
+        rng = np.random.default_rng(plan.seed)
+        steps = rng.integers(0, 1 << 63, (plan.tables, len(self.vocabulary) + 2), np.uint64, endpoint=True)
         flat = [self.vocabulary[x] for _, ws in kept for x in ws]
         self.symbols = np.array(flat, np.int64)
         starts, ids, offsets = [], [], []
@@ -105,25 +123,44 @@ class Index:
         self.ids, self.offsets = np.concatenate(ids or none), np.concatenate(offsets or none)
         self.tables = []
         for t in range(plan.tables if len(self.starts) else 0):
-            keys = embed(self.symbols, self.starts, plan, t, len(self.vocabulary))
+            taken = np.sort(rng.choice(plan.length, plan.sampled, replace=False))
+            keys = embed(self.symbols, self.starts, plan, steps[t], taken)
+            order = np.argsort(keys, kind="stable")
+            self.tables.append((keys[order], order, steps[t], taken))
+        self.short: dict[int, tuple[np.ndarray, list[int], np.ndarray]] = {}
+        for length in sorted({len(w) for _, w in split if len(w) < plan.window}):
+            same = [(i, w) for i, w in split if len(w) == length]
+            symbols = np.array([self.vocabulary[x] for _, ws in same for x in ws], np.int64)
+            keys = _run_keys(symbols, np.arange(len(same)) * length, length)
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], order))
+            self.short[length] = (keys[order], [same[k][0] for k in order], symbols.reshape(len(same), length)[order])
 
-    def candidates(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def whole_short(self, symbols: np.ndarray, foreign: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(start in ``symbols``, item, length) of the passages shorter than a window, wherever they stand word by word."""
+        for length, (keys, ids, rows) in self.short.items():
+            starts = np.nonzero(foreign[length:] == foreign[:-length])[0]
+            mine = _run_keys(symbols, starts, length)
+            lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+            for k in np.nonzero(hi > lo)[0].tolist():
+                for at in range(lo[k], hi[k]):
+                    if (symbols[starts[k] : starts[k] + length] == rows[at]).all():
+                        yield int(starts[k]), ids[at], length
+
+    def candidates(self, symbols: np.ndarray, foreign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(start in ``symbols``, number of the item window) of windows that collide in any table.
 
         Only windows with at most ``edits`` words foreign to all items are embedded: no other can be within ``edits`` of one.
+        ``foreign`` counts the foreign words before each position.
         """
         w = self.plan.window
-        foreign = np.concatenate([[0], np.cumsum(symbols == 0)])
         n = len(symbols)
         ends = np.minimum(np.arange(n) + w, n)
         starts = np.nonzero(foreign[ends] - foreign[:-1] + (w - (ends - np.arange(n))) <= self.plan.edits)[0]
         found = []
-        for t, (keys, order) in enumerate(self.tables):
+        for keys, order, steps, taken in self.tables:
             if not len(starts):
                 break
-            mine = embed(symbols, starts, self.plan, t, len(self.vocabulary))
+            mine = embed(symbols, starts, self.plan, steps, taken)
             lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
             many = hi - lo
             which = np.repeat(np.arange(len(starts)), many)
@@ -163,23 +200,28 @@ def edit_distances(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     return band.min(axis=1)
 
 
-def _match(index: Index, ids: list[int], texts: list[str | None]) -> dict[tuple[int, int], tuple[int, int, int, bool]]:
+Found = dict[tuple[int, int], tuple[int, int, int, int, bool]]
+
+
+def _match(index: Index, ids: list[int], texts: list[str | None]) -> Found:
+    return _match_words(index, ids, [words(t) if t else [] for t in texts])
+
+
+def _match_words(index: Index, ids: list[int], split: list[list[str]]) -> Found:
+    """(doc, item) to (place in the document, place in the item, words, edits, whole) of the best match: whole before edited, few edits before many."""
     plan = index.plan
     get = index.vocabulary.get
     gap = [0] * (plan.window + plan.edits)
     flat: list[int] = []
-    split, sizes = [], []
-    for text in texts:
-        ws = words(text) if text else []
-        split.append(ws)
-        sizes.append(len(ws))
-        flat += [get(x, 0) for x in ws]
+    for ws in split:
+        flat.extend(map(get, ws, repeat(0)))
         flat += gap
     symbols = np.array(flat, np.int64)
-    lengths = np.array(sizes, np.int64)
+    lengths = np.array([len(ws) for ws in split], np.int64)
     begins = np.cumsum(lengths + len(gap)) - lengths - len(gap)
-    starts, windows = index.candidates(symbols)
-    out: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
+    foreign = np.concatenate([[0], np.cumsum(symbols == 0)])
+    starts, windows = index.candidates(symbols, foreign)
+    out: Found = {}
     for lo in range(0, len(starts), 200_000):
         s, w = starts[lo : lo + 200_000], windows[lo : lo + 200_000]
         mine = index.symbols[index.starts[w][:, None] + np.arange(plan.window)]
@@ -192,44 +234,84 @@ def _match(index: Index, ids: list[int], texts: list[str | None]) -> dict[tuple[
         for start, window, e, d in zip(s[near].tolist(), w[near].tolist(), edits[near].tolist(), docs.tolist(), strict=True):
             key = (ids[d], int(index.ids[window]))
             best = out.get(key)
-            if best is not None and best[2] == 0:
+            if best is not None and best[3] == 0:
                 continue
             at, off = start - int(begins[d]), int(index.offsets[window])
             whole = e == 0 or "".join(split[d][at : at + plan.window + plan.edits]).startswith("".join(index.items[key[1]][off : off + plan.window]))
-            if best is None or (not whole, e) < (not best[3], best[2]):
-                out[key] = (at, off, e, whole)
+            if best is None or (not whole, e) < (not best[4], best[3]):
+                out[key] = (at, off, plan.window, e, whole)
+    for start, item, length in index.whole_short(symbols, foreign):
+        d = int(np.searchsorted(begins, start, "right")) - 1
+        out.setdefault((ids[d], item), (start - int(begins[d]), 0, length, 0, True))
     return out
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_CHARS characters; each block is fetched by itself."""
+def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The distinct items in blocks of about BLOCK_CHARS characters, one at a time: the driver holds no more than a partition and a block."""
     total = items.agg(F.sum(F.length("passage"))).first()[0] or 0
-    n = max(1, math.ceil(2 * total / BLOCK_CHARS)) if total > BLOCK_CHARS else 1
-    parts = [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
-    return [[(r[0], r[1]) for r in p.select("item_id", "passage").collect()] for p in parts]
+    parts = items.where("passage is not null").select(F.col("item_id").cast("bigint"), "passage").distinct().repartition(max(1, math.ceil(2 * total / BLOCK_CHARS)), "item_id")
+    block: list[tuple[int, str]] = []
+    size = 0
+    for item, passage in parts.toLocalIterator():
+        block.append((item, passage))
+        size += len(passage)
+        if size >= BLOCK_CHARS:
+            yield sorted(block)
+            block, size = [], 0
+    if block:
+        yield sorted(block)
+
+
+#: The indexes this worker built last; workers outlive tasks, so a block's index is built once for many of them.
+_indexes: OrderedDict[str, Index] = OrderedDict()
+
+
+def _index(name: str, shared, plan: Plan) -> Index:
+    if name not in _indexes:
+        while len(_indexes) >= KEPT_INDEXES:
+            _indexes.popitem(last=False)
+        _indexes[name] = Index(shared.value, plan)
+        vars(shared).pop("_value", None)  # the texts are on disk should they be needed again
+    _indexes.move_to_end(name)
+    return _indexes[name]
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[list[str]]]]:
+    """Documents as words, some HELD_CHARS characters at a time."""
+    ids: list[int] = []
+    split: list[list[str]] = []
+    size = 0
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            ids.append(key)
+            split.append(words(text) if text else [])
+            size += len(text or "")
+            if size >= HELD_CHARS:
+                yield ids, split
+                ids, split, size = [], [], 0
+    yield ids, split
 
 
 def leaks(documents: DataFrame, items: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """(doc_id, item_id, doc_word, item_word, edits, whole): the best match of each document and item.
+    """(doc_id, item_id, doc_word, item_word, n_words, edits, whole): the best match of each document and item.
 
     A pair is found if some window of the document is within ``edits`` word edits of a window of the item's passage;
     ``whole`` is true if the item's words stand there letter by letter, however they are spaced or broken (so a word split in
     two still counts). Pairs within 0 edits collide in every table; at ``edits`` edits recall is at least the plan's, as the
-    tests measure. Null and blank texts and items shorter than a window match nothing; repeated items are one; no row is
-    dropped for being frequent. Columns beyond doc_id, text, item_id, passage are ignored.
+    tests measure. An item shorter than a window is found where all its ``n_words`` words stand. Null and blank texts match nothing;
+    repeated items are one; no row is dropped for being frequent. Columns beyond doc_id, text, item_id, passage are ignored.
     """
-    parts = []
-    for block in _blocks(items):
-        shared = documents.sparkSession.sparkContext.broadcast((block, plan))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(sorted(set(shared.value[0])), shared.value[1])
-            for batch in batches:
-                got = _match(index, batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                rows = [(*k, *v) for k, v in got.items()]
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "doc_word", "item_word", "edits", "whole"])
-
-        parts.append(documents.where("text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, MATCHED))
-    return reduce(DataFrame.unionByName, parts)
+    spark = documents.sparkSession
+    name = uuid.uuid4().hex
+    shared = [spark.sparkContext.broadcast(block) for block in _blocks(items)]  # each lies in a file of the driver, not in its memory
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.bool_()]
+        names = [c.split()[0] for c in MATCHED.split(", ")]
+        for ids, split in _held(batches):
+            for k, block in enumerate(shared):
+                got = _match_words(_index(f"{name}-{k}", block, plan), ids, split)
+                columns = list(zip(*[(*key, *v) for key, v in got.items()], strict=True)) if got else [[] for _ in kinds]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    return documents.where("text is not null").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, MATCHED)
