@@ -100,7 +100,7 @@ def _keys(rows: DataFrame) -> DataFrame:
     off = lambda word, head: F.coalesce(F.transform(_one_off(word), lambda x: F.concat_ws("|", *head, x)), F.array().cast("array<string>"))
     date, desk, ident = F.col("date"), F.nullif(F.col("desk"), F.lit("")), F.col("identifier")
     ends = [F.concat(F.lit("<"), F.left(ident, F.lit(3))), F.concat(F.lit(">"), F.right(ident, F.lit(3)))]  # one edit spares one end
-    return _exploded(words, {
+    keys = _exploded(words, {
         1: F.array(person(desk, long_last)),
         2: F.array(person(desk, F.coalesce(long_first, long_last))),
         3: F.array(person(date, full), project(date, full)),
@@ -115,6 +115,7 @@ def _keys(rows: DataFrame) -> DataFrame:
         9: F.when(F.col("bare"), F.array(person(full), project(full))),
         MISSPELT: F.array(*[kind(full, e) for kind in (person, project) for e in ends]),
     })
+    return keys.distinct()  # in place again: what states and forms of one id share is one key before anything is shuffled
 
 
 def _figures(c: Column) -> Column:
@@ -140,8 +141,8 @@ def node_states(nodes: DataFrame) -> DataFrame:
 
 def _form_rows(rows: DataFrame) -> DataFrame:
     """One row per distinct cleaned form. A record without a form that means anything has none."""
-    each = rows.withColumn("form", F.explode(F.array_distinct("forms"))).drop("forms").where(F.trim("form") != "")
-    return each.withColumn("clean", _clean(F.col("form"))).drop("form").distinct()
+    each = rows.repartition("id").withColumn("form", F.explode(F.array_distinct("forms"))).drop("forms").where(F.trim("form") != "")
+    return each.withColumn("clean", _clean(F.col("form"))).drop("form").distinct()  # in place, as the rows of an id lie together
 
 
 def node_forms(states: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -203,7 +204,7 @@ def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Wor
     forms = records.join(small(kinds), "type", "left").join(small(departments), "dept", "left")
     forms = forms.withColumns({"person": F.coalesce(kind, F.col("person_like") | ~F.col("coded")), "project": F.coalesce(~kind, ~F.col("person_like"))})
     forms = forms.withColumn("bare", F.col("date").isNull() & (F.coalesce("desk", F.lit("")) == "")).withColumn("initials", _initials(F.col("dept"))).drop("type", "kind", "person_like", "coded", "dept")
-    asked = workspace.put(_keys(_form_rows(forms)).distinct())
+    asked = workspace.put(_keys(_form_rows(forms)))
     known = _keys(node_forms(states, aliases)).groupBy("rule", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("identifier").alias("theirs"))
     near = (F.col("rule") != MISSPELT) | (F.levenshtein("identifier", "theirs", 1) >= 0)
     hits = _one_node(asked.join(known, ["rule", "key"]).where(near))
