@@ -1,4 +1,8 @@
-"""Splitting oversized items at natural boundaries: content-defined chunking whose landmarks snap to the nearest boundary."""
+"""Splitting oversized items at natural boundaries: content-defined chunking whose landmarks snap to the nearest boundary.
+
+The landmark of a piece is the place with the least rolling hash among those where it may end. Where that is depends on the words
+around it alone, so two versions of a text agree on it as soon as their pieces overlap there: an edit alters its neighbours only.
+"""
 
 from __future__ import annotations
 
@@ -19,7 +23,7 @@ _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*")
 _LINE = re.compile(r"\n\s*")
 _SENTENCE = re.compile(r"[.!?…][\"'”’)\]]*\s+")
 _SPACE = re.compile(r"[ \t\n]+")
-_RUN = re.compile(r"[^ \t\n]+")
+BLANKS = " \t\n"
 
 
 @dataclass(frozen=True)
@@ -30,22 +34,22 @@ class Sizes:
     overlap: int = 100
     least: int = 500
     window: int = 24
-    #: One landmark in so many positions.
-    rarity: int = 200
-    #: A boundary this near a landmark is taken before a weaker one that is nearer.
+    #: A paragraph's, line's or sentence's end this near the landmark is taken; else the nearest space.
     reach: int = 250
 
 
-def landmarks(text: str, sizes: Sizes) -> np.ndarray:
-    """Positions after which the rolling hash of the last ``window`` code points hits: they move with their surroundings."""
+def rolling_hashes(text: str, sizes: Sizes) -> np.ndarray:
+    """For each place from 0 to the end the mixed hash of the ``window`` code points before it; places without so many have the greatest value."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    out = np.full(len(codes) + 1, np.iinfo(np.uint64).max, np.uint64)
     if len(codes) < sizes.window:
-        return np.zeros(0, np.int64)
+        return out
     rolling = np.zeros(len(codes) - sizes.window + 1, np.uint64)
     for k in range(sizes.window):
         rolling = rolling * np.uint64(1_099_511_628_211) + codes[k : len(codes) - sizes.window + 1 + k]
-    mixed = (rolling * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-    return np.nonzero(mixed % np.uint64(sizes.rarity) == 0)[0] + sizes.window
+    mixed = (rolling ^ (rolling >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    out[sizes.window :] = mixed ^ (mixed >> np.uint64(29))
+    return out
 
 
 def boundaries(text: str) -> list[tuple[str, list[int]]]:
@@ -64,8 +68,10 @@ def _nearest(places: list[int], at: int, lo: int, hi: int) -> int | None:
 def cuts(text: str, sizes: Sizes = Sizes()) -> list[tuple[int, str]]:
     """(end of the new part, kind of boundary) of each piece. Kind 'forced' means that no boundary stood in the piece's span."""
     n = len(text)
-    places = boundaries(text)
-    marks = landmarks(text, sizes).tolist()
+    *strong, (_, spaces) = boundaries(text)
+    kinds = {at: kind for kind, where in reversed(strong) for at in where}
+    natural = sorted(kinds)
+    hashes = rolling_hashes(text, sizes)
     out: list[tuple[int, str]] = []
     s = 0
     while True:
@@ -74,36 +80,40 @@ def cuts(text: str, sizes: Sizes = Sizes()) -> list[tuple[int, str]]:
             out.append((n, "end"))
             return out
         lo, hi = s + sizes.least, s + room
-        i = bisect_left(marks, lo)
-        goal = marks[i] if i < len(marks) and marks[i] <= hi else None
-        best = None
-        for kind, where in places:
-            at = _nearest(where, goal if goal is not None else hi, lo, hi)
-            if at is not None and (goal is None or kind == "space" or abs(at - goal) <= sizes.reach):
-                best = (at, kind)
-                break
-        if best is None:
-            for kind, where in places:
-                j = bisect_right(where, hi) - 1
-                if j >= 0 and where[j] > s + sizes.overlap:
-                    best = (where[j], kind)
-                    break
-        if best is None:
+        goal = lo + int(hashes[lo : hi + 1].argmin())
+        at = _nearest(natural, goal, max(lo, goal - sizes.reach), min(hi, goal + sizes.reach))
+        if at is None:
+            at = _nearest(spaces, goal, lo, hi)
+        if at is None:  # nothing where the piece should end: the last boundary before that
+            last = [where[j] for where in (natural, spaces) if (j := bisect_right(where, hi) - 1) >= 0 and where[j] > s + sizes.overlap]
+            at = max(last, default=None)
+        if at is None:
             at = hi
             while at > s + sizes.overlap + 1 and unicodedata.combining(text[at]):
                 at -= 1
-            best = (at, "forced")
-        out.append(best)
-        s = best[0]
+            out.append((at, "forced"))
+        else:
+            out.append((at, kinds.get(at, "space")))
+        s = at
+
+
+def cut_through(text: str, at: int) -> int:
+    """Length of the run without space, tab or newline that a cut at ``at`` divides, 0 if it divides none."""
+    if at >= len(text) or text[at - 1] in BLANKS or text[at] in BLANKS:
+        return 0
+    begin = max(text.rfind(b, 0, at) for b in BLANKS) + 1
+    return min((p for b in BLANKS if (p := text.find(b, at)) >= 0), default=len(text)) - begin
 
 
 def _split(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for key, text, offset, section, path in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            forced = int(max((m.end() - m.start() for m in _RUN.finditer(text)), default=0) > sizes.most)
+            ends = cuts(text, sizes)
+            # a run longer than a piece cannot but be divided, so the cuts have seen every one
+            forced = int(any(cut_through(text, at) > sizes.most for at, _ in ends))
             begin = 0
-            for k, (end, kind) in enumerate(cuts(text, sizes)):
+            for k, (end, kind) in enumerate(ends):
                 rows.append((key, section, path, k, begin, end, offset + begin if offset is not None and offset >= 0 else -1, kind, forced, text[begin:end]))
                 begin = end - sizes.overlap
             if len(rows) > 5000:
