@@ -106,7 +106,7 @@ def alias_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 , p as (select src id, dst nb, 'out' d from e union select dst, src, 'in' from e union select src, dst, 'both' from e union select dst, src, 'both' from e)
-select d direction, p.id, count(distinct nb) n, string_agg(distinct nb, '|' order by nb) neighbors from p where p.id is not null and nb in (select id from n) and p.id like 'team:%' group by d, p.id""")
+select d direction, p.id, count(distinct nb) n, string_agg(distinct nb, '|' order by nb) neighbors from p where p.id is not null and nb in (select id from n) group by d, p.id""")
 def neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """Neighbours of every entity in the three directions. A pair is made distinct and looked up once for all of them."""
     t = g.TemporalGraph.load(spark, folder)

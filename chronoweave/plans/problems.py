@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,15 +129,15 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event with root, depth, path and number of descendants; on a circle its members instead of a path, below one the path from the member."""
+    """Every event with root, depth, path and number of descendants; below a circle the path runs from its member, and the circle's smallest id lists its members."""
     with Workspace(spark, "p4") as ws:
         links = ws.put(forest.parent_links(read_table(spark, folder, "run_clinical_study"), "id", "parent_event"), keep=True)
-        solved = forest.contract(links.select("id", "parent"), ws, paths=True)
-        hung = forest.below_circles(links, solved, ws)
-        below = forest.descendants(solved).unionByName(forest.descendants(hung)).groupBy(F.col("ancestor").alias("id")).agg(F.count(F.lit(1)).alias("n_descendants"))
-        return solved.join(hung.where("depth > 0").select("id", F.col("path").alias("from_circle")), "id", "left").join(below, "id", "left").select(
+        solved = forest.contract(links.select("id", "parent"), ws, paths=True, sizes=True)
+        hung = forest.below_circles(links, solved, ws, sizes=True).select("id", F.when(F.col("depth") > 0, F.col("path")).alias("from_circle"), F.col("size").alias("hung_size"))
+        circles = solved.where("circle is not null").select(F.col("root").alias("id"), F.array_join(F.array_sort("circle"), ">").alias("members"))
+        return solved.join(hung, "id", "left").join(circles, "id", "left").select(
             F.col("id").alias("event_id"), F.col("root").alias("root_id"), F.col("depth").cast("int"), F.array_join(F.coalesce("path", "from_circle"), ">").alias("path"),
-            F.array_join(F.array_sort("circle"), ">").alias("circle"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"),
+            F.col("members").alias("circle"), (F.coalesce("hung_size", "size") - 1).alias("n_descendants"),
         )
 
 
@@ -159,44 +161,75 @@ c as (select id, min(anc) root from up where anc in (select id from oncirc) grou
 P4_FOUND_SQL = P4_SQL + (
     "select t.id event_id, root root_id, depth from t join l using (id) where named union all select id, root, -1 from c"
 )
+# upwards from every link that is no part of a circle; around a circle nobody is above anybody
 P4_DESCENDANTS_SQL = P4_SQL + (
-    ", d(ancestor, descendant, distance) as (select l.parent, l.id, 1 from l join t using (id) where parent is not null "
-    "union all select l.parent, d.descendant, d.distance + 1 from d join l on d.ancestor = l.id where l.parent is not null) select ancestor, descendant, cast(distance as bigint) distance from d"
+    ", tree as (select id, parent from l where parent is not null and id not in (select id from oncirc)), d(ancestor, descendant, distance) as (select parent, id, 1 from tree "
+    "union all select t.parent, d.descendant, d.distance + 1 from d join tree t on d.ancestor = t.id) select ancestor, descendant, cast(distance as bigint) distance from d"
 )
+P4_HIERARCHY_SQL = P4_SQL + """
+, h(id, path, depth) as (select id, id, 0 from oncirc union all select b.id, h.path || '>' || b.id, h.depth + 1 from bad b join h on b.parent = h.id where b.id not in (select id from oncirc)),
+p as (select id, path, depth from t union all select id, path, depth from h),
+n as (select a id, count(*) k from (select unnest(string_split(path, '>')[:-2]) a from p) group by a),
+m as (select root, string_agg(c.id, '>' order by c.id) circle from c where c.id in (select id from oncirc) group by root),
+x as (select id, root, depth, path from t union all select c.id, c.root, -1, case when h.depth > 0 then h.path end from c join h using (id))
+select x.id event_id, x.root root_id, x.depth::integer as "depth", x.path, m.circle, coalesce(n.k, 0) n_descendants from x left join n on n.id = x.id left join m on m.root = x.id
+"""
 
 # --- 6: deeply nested semi-structured records -----------------------------------------------------------------
 
 
-def _p6(spark: SparkSession, folder: str) -> DataFrame:
-    journal, bundles = read_table(spark, folder, "run_clinical_study"), read_table(spark, folder, "kg_bundles")
-    # copies of an event agree, so the flat rows of copies are equal and distinct removes them afterwards
-    texts = journal.select("id", "deliverable", "payload").where("deliverable is not null or payload like '%severity%'")
-    texts = texts.withColumn("d", flatten.parsed("deliverable")).withColumn("p", F.when(F.col("payload").like("%severity%"), flatten.parsed("payload")))
-    both = texts.select(F.col("id").alias("record_id"), F.expr(flatten.nested("d", "$", "sections")).alias("deliverable"), F.expr(flatten.nested("p", "$.severity", "history")).alias("severity"))
-    both = both.select("record_id", F.expr("stack(2, 'deliverable', deliverable, 'severity', severity) as (list_name, lists)"))
-    bodies = bundles.withColumn("b", flatten.parsed("body")).withColumn("b", F.expr("coalesce(try_variant_get(b, '$.kg', 'variant'), b)"))
-    lists = flatten.run_on(flatten.nested("b", "$.mentions", "locator"), flatten.run_on_parts("b", "$.parts", "$.mentions", "locator"))
-    mentions = bodies.select(F.col("bundle_id").alias("record_id"), F.lit("mentions").alias("list_name"), lists.alias("lists"))
-    return flatten.flatten(both.unionByName(mentions).where(F.size("lists") > 0))
+_text = lambda *names: tuple((n, f"$.{n}", "string") for n in names)
+_whole = lambda *names: tuple((n, f"$.{n}", "int") for n in names)
+LISTS = {
+    "deliverable": flatten.Level("$", (*_text("kind", "medium"), ("value", "$", "string")), flatten.Level("$.sections", (*_text("title"), *_whole("pages")))),
+    "severity": flatten.Level("$.severity", (*_whole("code"), *_text("grade"), ("value", "$", "string")), flatten.Level("$.history", (("said_by", "$.by", "string"), ("earlier_grade", "$.grade", "string")))),
+    "mentions": flatten.Level("$.mentions", _text("artifact_path", "entity_id", "surface_form"), flatten.Level("$.locator", (*_text("medium"), *_whole("offset", "length", "line")))),
+}
+
+
+def nested_lists(spark: SparkSession, folder: str, name: str, level: flatten.Level) -> DataFrame:
+    """(record_id, lists) of one kind; copies of a record agree, so the flat rows of copies are equal and distinct removes them afterwards."""
+    if name == "mentions":
+        # a bundle may be wrapped in 'kg'; its own mentions come first, then those of its parts
+        bodies = read_table(spark, folder, "kg_bundles").select(F.col("bundle_id").alias("record_id"), flatten.parsed("body").alias("b"))
+        unwrapped = bodies.withColumn("v", F.expr("coalesce(try_variant_get(b, '$.kg', 'variant'), b)"))
+        return unwrapped.select("record_id", F.expr(flatten.run_on(flatten.nested("v", level), flatten.run_on_parts("v", "$.parts", level))).alias("lists"))
+    column = "deliverable" if name == "deliverable" else "payload"
+    texts = read_table(spark, folder, "run_clinical_study").where(F.col(column).isNotNull()).select(F.col("id").alias("record_id"), flatten.parsed(column).alias("v"))
+    return texts.select("record_id", F.expr(flatten.nested("v", level)).alias("lists")).where(F.size("lists") > 0)
+
+
+def p6_flat(spark: SparkSession, folder: str, name: str, keys_only: bool = False) -> DataFrame:
+    level = LISTS[name].bare() if keys_only else LISTS[name]
+    return flatten.flatten(nested_lists(spark, folder, name, level), level)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _p6(spark, folder).select("record_id", "list_name", "item_no", "sub_no").distinct()
+    every = reduce(DataFrame.unionByName, [p6_flat(spark, folder, n, keys_only=True).withColumn("list_name", F.lit(n)) for n in LISTS])
+    return every.select("record_id", "list_name", F.col("no_0").alias("item_no"), F.coalesce("no_1", F.lit(-1)).alias("sub_no")).distinct()
+
+
+def _p6_tables(spark: SparkSession, folder: str, depth: int) -> DataFrame:
+    numbers = {"no_0": "item_no", "no_1": "sub_no"}
+    parts = [flatten.table(p6_flat(spark, folder, n), level, depth).withColumnsRenamed(numbers).withColumn("list_name", F.lit(n)) for n, level in LISTS.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).distinct()
 
 
 def p6_items(spark: SparkSession, folder: str) -> DataFrame:
-    return flatten.parents(_p6(spark, folder)).distinct()
+    """The table of parents: every deliverable, severity and mention with its fields, keyed by record, list and position."""
+    return _p6_tables(spark, folder, 0)
 
 
 def p6_entries(spark: SparkSession, folder: str) -> DataFrame:
-    return flatten.children(_p6(spark, folder)).distinct()
+    """The table of children: sections, history and locators, each with its parent's key and its own position."""
+    return _p6_tables(spark, folder, 1)
 
 
 def _aslist(x: str) -> str:
     return f"case when json_type({x}) = 'ARRAY' then json_extract({x}, '$[*]') when {x} is null or json_type({x}) = 'NULL' then [] else [{x}] end"
 
 
-P6_FOUND_SQL = f"""
+P6_SQL = f"""
 with t as (
   select distinct id rid, 'deliverable' ln, 'sections' inr, deliverable x from run_clinical_study union select id, 'severity', 'history', payload from run_clinical_study
   union select bundle_id, 'mentions', 'locator', body from kg_bundles),
@@ -206,12 +239,23 @@ w as (select rid, ln, inr, case ln when 'severity' then json_extract(j, '$.sever
 m as (select *, json_extract(j, '$.mentions') mm, json_extract(j, '$.parts') pp from w),
 l as (select rid, ln, inr, case when ln = 'mentions' then list_concat({_aslist('mm')}, flatten(list_transform({_aslist('pp')}, lambda q: {_aslist("json_extract(q, '$.mentions')")}))) else {_aslist('j')} end l from m),
 i as (select rid, ln, inr, unnest(l) x, generate_subscripts(l, 1) - 1 item_no from l),
-k as (select rid, ln, item_no, json_extract(x, '$.' || inr) y from i where json_type(x) <> 'NULL'),
+k as (select rid, ln, item_no, x, json_extract(x, '$.' || inr) y from i where json_type(x) <> 'NULL'),
 c as (select rid, ln, item_no, {_aslist('y')} sub from k),
 s as (select rid, ln, item_no, unnest(sub) z, generate_subscripts(sub, 1) - 1 sub_no from c)
+"""
+P6_FOUND_SQL = P6_SQL + """
 select distinct rid record_id, ln list_name, item_no::integer item_no, sub_no::integer sub_no from (
   select rid, ln, item_no, -1 sub_no from k union all select rid, ln, item_no, sub_no from s where json_type(z) <> 'NULL')
 """
+_J = lambda v, ln, f, t=None: f"case when ln = '{ln}' then {f'try_cast({v}->>{chr(39)}$.{f}{chr(39)} as {t})' if t else f'{v}->>{chr(39)}$.{f}{chr(39)}'} end"
+P6_ITEMS_SQL = P6_SQL + f"""
+select distinct rid record_id, ln list_name, item_no::integer item_no, {_J('x', 'deliverable', 'kind')} kind, {_J('x', 'deliverable', 'medium')} medium,
+  case when ln <> 'mentions' and json_type(x) <> 'OBJECT' then x->>'$' end "value", {_J('x', 'severity', 'code', 'integer')} code, {_J('x', 'severity', 'grade')} grade,
+  {_J('x', 'mentions', 'artifact_path')} artifact_path, {_J('x', 'mentions', 'entity_id')} entity_id, {_J('x', 'mentions', 'surface_form')} surface_form from k"""
+P6_ENTRIES_SQL = P6_SQL + f"""
+select distinct rid record_id, ln list_name, item_no::integer item_no, sub_no::integer sub_no, {_J('z', 'deliverable', 'title')} title, {_J('z', 'deliverable', 'pages', 'integer')} pages,
+  {_J('z', 'severity', 'by')} said_by, {_J('z', 'severity', 'grade')} earlier_grade, {_J('z', 'mentions', 'medium')} medium, {_J('z', 'mentions', 'offset', 'integer')} "offset",
+  {_J('z', 'mentions', 'length', 'integer')} "length", {_J('z', 'mentions', 'line', 'integer')} line from s where json_type(z) <> 'NULL'"""
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_known, p4_found, p4_hierarchy, p4_descendants, p6_found, p6_items, p6_entries)}
-SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p2_found": P2_FOUND_SQL, "p2_known": P2_KNOWN_SQL, "p6_found": P6_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_descendants": P4_DESCENDANTS_SQL}
+SQL = {"p1_found": P1_FOUND_SQL, "p1_report": P1_REPORT_SQL, "p2_found": P2_FOUND_SQL, "p2_known": P2_KNOWN_SQL, "p6_found": P6_FOUND_SQL, "p6_items": P6_ITEMS_SQL, "p6_entries": P6_ENTRIES_SQL, "p4_found": P4_FOUND_SQL, "p4_descendants": P4_DESCENDANTS_SQL, "p4_hierarchy": P4_HIERARCHY_SQL}

@@ -148,16 +148,49 @@ BODIES = [
 
 
 def test_flatten_shapes(spark):
+    level = flatten.Level("$.s", (("value", "$", "string"),), flatten.Level("$.h", (("by", "$.by", "string"),)))
     df = spark.createDataFrame(BODIES, "record_id string, body string").withColumn("v", flatten.parsed("body"))
-    rows = df.select("record_id", F.lit("s").alias("list_name"), F.expr(flatten.nested("v", "$.s", "h")).alias("lists"))
-    got = {tuple(r)[:4] for r in flatten.flatten(rows).collect()}
-    one = lambda k, *pos: {(k, "s", i, j) for i, j in pos}
+    rows = df.select("record_id", F.lit("s").alias("list_name"), F.expr(flatten.nested("v", level)).alias("lists"))
+    flat = flatten.flatten(rows, level)
+    got = {(r.record_id, r.no_0, -1 if r.no_1 is None else r.no_1) for r in flat.collect()}
+    one = lambda k, *pos: {(k, i, j) for i, j in pos}
     assert got == one("one", (0, -1), (0, 0), (0, 2)) | one("list", (1, -1), (2, -1), (3, -1), (4, -1), (4, 0)) | one("twice", (0, -1)) | one("long", (0, -1))
-    assert flatten.flatten(rows.limit(0)).count() == 0
+    assert flatten.flatten(rows.limit(0), level).count() == 0
+    keys = flatten.flatten(df.select("record_id", F.expr(flatten.nested("v", level.bare())).alias("lists")), level.bare())
+    assert keys.columns == ["record_id", "no_0", "no_1"] and {(r[0], r[1], -1 if r[2] is None else r[2]) for r in keys.collect()} == got
+    parents = {(r.record_id, r.no_0): r.value for r in flatten.table(flat, level, 0).collect()}
+    assert parents["list", 1] == "mild" and parents["list", 4] is None and parents["long", 0] == "y" * 200_000
+    assert [tuple(r) for r in flatten.table(flat, level, 1).where("by is not null").collect()] == [("list", 4, 0, "a")]
 
 
 def test_flatten_kernel_on_sliced_and_null_lists():
-    kind = pa.list_(pa.struct([("item", pa.string()), ("subs", pa.list_(pa.string()))]))
-    lists = pa.array([[{"item": "skip", "subs": None}], None, [], [None, {"item": "a", "subs": ["p", None, "q"]}], [{"item": "b", "subs": []}]], kind)[1:]
-    got = flatten.flatten_batch(pa.array(list("wxyz")), pa.array(["l"] * 4), lists).to_pylist()
-    assert {(r["record_id"], r["item_no"], r["sub_no"], r["body"]) for r in got} == {("y", 1, -1, "a"), ("y", 1, 0, "p"), ("y", 1, 2, "q"), ("z", 0, -1, "b")}
+    kind = pa.list_(pa.struct([("item", pa.string()), ("_inner", pa.list_(pa.struct([("sub", pa.string())])))]))
+    subs = lambda *xs: [None if x is None else {"sub": x} for x in xs]
+    lists = pa.array([[{"item": "skip", "_inner": None}], None, [], [None, {"item": "a", "_inner": subs("p", None, "q")}], [{"item": "b", "_inner": []}]], kind)[1:]
+    schema = pa.schema([("record_id", pa.string()), ("no_0", pa.int32()), ("no_1", pa.int32()), ("item", pa.string()), ("sub", pa.string())])
+    got = [r for b in flatten.flatten_batch(pa.array(list("wxyz")), lists, schema, 2) for r in b.to_pylist()]
+    assert {(r["record_id"], r["no_0"], r["no_1"], r["item"], r["sub"]) for r in got} == {("y", 1, None, "a", None), ("y", 1, 0, None, "p"), ("y", 1, 2, None, "q"), ("z", 0, None, "b", None)}
+
+
+def test_flatten_any_depth_with_typed_fields(spark):
+    level = flatten.Level("$.a", (("x", "$.x", "int"),), flatten.Level("$.b", (("y", "$.y", "double"),), flatten.Level("$.c", (("z", "$", "string"),))))
+    body = '{"a":[{"x":1,"b":[{"y":0.5,"c":["p",null,"q"]},{"c":"r"}]},null,{"x":"no number","b":{"y":2}}]}'
+    rows = spark.createDataFrame([("k", body)], "record_id string, body string").withColumn("v", flatten.parsed("body")).select("record_id", F.expr(flatten.nested("v", level)).alias("lists"))
+    flat = flatten.flatten(rows, level)
+    tables = [{tuple(r)[1:] for r in flatten.table(flat, level, d).collect()} for d in range(3)]
+    assert tables == [{(0, 1), (2, None)}, {(0, 0, 0.5), (0, 1, None), (2, 0, 2.0)}, {(0, 0, 0, "p"), (0, 0, 2, "q"), (0, 1, 0, "r")}]
+
+
+def test_subtree_sizes_without_pairs(spark):
+    rng = random.Random(8)
+    links = {f"n{i}": f"n{rng.randrange(i)}" if i else None for i in range(300)} | {f"c{i}": f"c{i - 1}" if i else None for i in range(120)}
+    links |= {f"r{i}": f"r{(i + 1) % 4}" for i in range(4)} | {"t0": "r0", "t1": "t0", "t2": "t0"}
+    with Workspace(spark, "t") as ws:
+        solved = forest.contract(spark.createDataFrame(list(links.items()), "id string, parent string"), ws, sizes=True)
+        got = {r.id: r.size for r in solved.collect()}
+    want = dict.fromkeys(links, 0)
+    for k in links:
+        while k is not None and not k.startswith("r"):
+            want[k] += 1
+            k = links[k]
+    assert {k: v for k, v in got.items() if not k.startswith("r")} == {k: v for k, v in want.items() if not k.startswith("r")}
