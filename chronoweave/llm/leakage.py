@@ -52,13 +52,14 @@ class Plan:
 
     window: int = 15
     edits: int = 2
-    sampled: int = 7
+    sampled: int = 6
     recall: float = 0.98
     seed: int = 20_240
 
     @property
     def length(self) -> int:
-        return 3 * self.window
+        """Steps of a walk: it leaves its window after about twice as many as that has words, and reads nothing there that tells windows apart."""
+        return 2 * self.window
 
     @property
     def tables(self) -> int:
@@ -74,17 +75,21 @@ def embed(symbols: np.ndarray, starts: np.ndarray, plan: Plan, steps: np.ndarray
     window a walk reads the last symbol of ``steps``. ``taken`` are the sampled steps in rising order.
     """
     outside = len(steps) - 1
-    last = len(symbols) - 1
-    at = np.zeros(len(starts), np.int64)
+    padded = np.concatenate([symbols, np.zeros(plan.window, np.int64)]).astype(np.int32)
+    at = starts.astype(np.int64)
+    ends = at + plan.window
     key = np.zeros(len(starts), np.uint64)
     sampled = set(taken.tolist())
     for j in range(int(taken[-1]) + 1):
-        inside = at < plan.window
-        here = np.where(inside, symbols[np.minimum(starts + at, last)], outside)
+        here = padded[at]
+        if j >= plan.window:  # no walk can have left its window before
+            here[at >= ends] = outside
         if j in sampled:
             key = (key ^ (here.astype(np.uint64) + np.uint64(j * 0x9E3779B1))) * np.uint64(0xFF51AFD7ED558CCD)
             key ^= key >> np.uint64(29)
-        at += ((steps[here] >> np.uint64(j)) & np.uint64(1)).astype(np.int64) * inside
+        moves = ((steps >> np.uint64(j)) & np.uint64(1)).astype(np.int8)
+        moves[outside] = 0
+        at += moves[here]
     return key
 
 
