@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -116,26 +117,29 @@ def lifecycle(starts: DataFrame, stages: Sequence[tuple[str, float]]) -> DataFra
 def book(requests: DataFrame, person: str = "person") -> DataFrame:
     """Greedy booking per person in order of wish: the first gap of the working days that follow which is long enough.
 
-    ``requests`` has id, person, wish and minutes. A request longer than a working day takes its wish as it stands, forced.
-    Each person's calendar is kept as sorted intervals by one task; a person's requests are that person's own work.
+    ``requests`` has id, person, wish and minutes. A request longer than a working day is forced: it takes the next working instant,
+    whatever else is booked then. Each person's calendar is kept by one task as sorted intervals that do not touch, so a place is found by search;
+    a person's requests are that person's own work.
     """
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
-        busy: list[tuple[pd.Timestamp, pd.Timestamp]] = []
+        begins: list[pd.Timestamp] = []
+        ends: list[pd.Timestamp] = []
+        day = pd.Timedelta(minutes=CLOSE - OPEN)
         out = []
         for r in rows.sort_values(["wish", "id"]).itertuples():
             length = pd.Timedelta(minutes=float(r.minutes))
-            at, forced = r.wish, length > pd.Timedelta(minutes=CLOSE - OPEN)
+            at, forced = _working(r.wish), length > day
             while not forced:
-                at = _working(at)
                 if at + length > at.normalize() + pd.Timedelta(minutes=CLOSE):
-                    at = at.normalize() + pd.Timedelta(days=1)
+                    at = _working(at.normalize() + pd.Timedelta(days=1))
                     continue
-                clash = [e for s, e in busy if s < at + length and at < e]
-                if not clash:
+                i = bisect_right(ends, at)
+                if i == len(ends) or begins[i] >= at + length:
                     break
-                at = max(clash)
-            busy.append((at, at + length))
+                at = _working(ends[i])
+            i, j = bisect_left(ends, at), bisect_right(begins, at + length)
+            begins[i:j], ends[i:j] = [min([at, *begins[i : i + 1]]) if i < j else at], [max([at + length, *ends[j - 1 : j]]) if i < j else at + length]
             out.append((r.id, getattr(r, person), at, at + length, forced))
         return pd.DataFrame(out, columns=["id", person, "start", "end", "forced"])
 

@@ -34,14 +34,15 @@ def references(keys: Sequence[ForeignKey]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).groupBy("tab", "row_key", "field_name", "ref_id").agg(F.min("arrived").alias("arrived"))
 
 
-def direct_orphans(keys: Sequence[ForeignKey], records: dict[str, DataFrame]) -> DataFrame:
+def direct_orphans(keys: Sequence[ForeignKey], records: dict[str, DataFrame], refs: DataFrame | None = None) -> DataFrame:
     """References that fail at their record's arrival, with state missing, deleted or late.
 
     ``records[name]`` has id, first_seen and deleted_at (null if never). The target side is reduced to one row per id
     before the join, so a hot reference meets exactly one target row and the join never multiplies; its rows are
-    split by adaptive skew handling, as nothing after the join needs the same partitioning.
+    split by adaptive skew handling, as nothing after the join needs the same partitioning. ``refs`` are the ``references(keys)`` if
+    they are at hand.
     """
-    refs = references(keys)
+    refs = references(keys) if refs is None else refs
     out = []
     for names in sorted({k.targets for k in keys}):
         known = reduce(DataFrame.unionByName, [records[n].select("id", "first_seen", "deleted_at") for n in names])
@@ -66,8 +67,8 @@ def cascade(keys: Sequence[ForeignKey], records: dict[str, DataFrame], workspace
     tables nobody refers to ends the loop without a Spark job; self-references iterate until nothing is new, so circles end.
     Nulls and blanks are no references. Empty tables give no rows. Columns beyond those named are ignored.
     """
-    refs = references(keys)
-    direct = workspace.put(direct_orphans(keys, records).withColumn("kind", F.lit("direct")).withColumn("depth", F.lit(0)), keep=True)
+    refs = workspace.put(references(keys))
+    direct = workspace.put(direct_orphans(keys, records, refs).withColumn("kind", F.lit("direct")).withColumn("depth", F.lit(0)), keep=True)
     found, frontier, tabs, depth = [direct], direct, {k.tab for k in keys}, 0
     while True:
         down = [k for k in keys if set(k.targets) & tabs]

@@ -175,14 +175,23 @@ def roster(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "type", F.explode("surfaces").alias("surface")).where("type in ('Person', 'Project', 'Initiative', 'Team', 'Goal', 'Department', 'Company')").groupBy("surface").agg(F.min_by("id", order).alias("entity_id"))
 
 
-_STOP = frozenset("The A An In On At For To From This That These Those And But Or If When While After Before We Our It Its".split())  # fixed value: words a title does not start with
+# Words that open a capitalised run without naming anybody, and the shape of a name's word.
+OPENERS = "The This That These Those We Our Their Its They In On At As For And But Or If When While After Before During By With From All Each No Next Last First Today Now Per Both Some Many".split()
+NAME_WORD = r"[A-Z][a-z]+(?:[-'’][A-Z][a-z]+)?"
 
 
 def unresolved_names(documents: DataFrame, known: DataFrame) -> DataFrame:
-    """(doc_id, surface): runs of at least two capitalised words that no roster surface names and no stop word starts."""
-    runs = documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)+)\b"), F.lit(1)))).alias("surface"))
-    kept = runs.where(~F.split("surface", " ")[0].isin(*_STOP))
-    return kept.join(known.select("surface"), "surface", "left_anti").select("doc_id", "surface")
+    """(doc_id, surface): distinct runs of at least two capitalised words on one line that no roster surface names.
+
+    A run all of whose words are surfaces is two names side by side; one that opens with a sentence word is none. The words of all
+    runs meet the roster in a join, as the runs do.
+    """
+    runs = documents.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"{NAME_WORD}(?:[ \t]+{NAME_WORD})+"), F.lit(0)))).alias("surface"))
+    words = F.split("surface", "[ \t]+")
+    open_ = runs.where(~words[0].isin(*OPENERS)).join(known.select("surface"), "surface", "left_anti")
+    names = open_.select("surface").distinct().select("surface", F.explode(words).alias("word"))
+    strange = names.join(known.select(F.col("surface").alias("word")).distinct(), "word", "left_anti").select("surface").distinct()
+    return open_.join(strange, "surface", "left_semi").select("doc_id", "surface")
 
 
 def resolve_mentions(mentions: DataFrame, ws: Workspace, merge_at: float = 0.7) -> DataFrame:

@@ -107,11 +107,63 @@ def components(pairs: DataFrame, ws: Workspace) -> DataFrame:
     return ws.put(ids.join(stars.select(F.col("a").alias("id"), "b"), "id", "left").select("id", F.coalesce("b", "id").alias("component")), keep=True)
 
 
+def _spread(links: DataFrame, labels: DataFrame, ws: Workspace) -> DataFrame:
+    """``labels`` (id, label) with each label lowered to the least that reaches its id along ``links``.
+
+    Only ids whose label has just changed send it on, and a receiver keeps the least of what it is sent.
+    """
+    labels = ws.put(labels)
+    fresh = labels
+    while True:
+        sent = links.join(fresh.select(F.col("id").alias("src"), F.col("label").alias("sent")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("sent").alias("sent"))
+        lower = labels.join(sent, "id").where("sent < label").select("id", F.col("sent").alias("label"))
+        new, n = _counted(ws, lower)
+        if fresh is not labels:
+            ws.drop(fresh)
+        if not n:
+            ws.drop(new)
+            return labels
+        merged = ws.put(labels.join(new.select("id", F.col("label").alias("new")), "id", "left").select("id", F.coalesce("new", "label").alias("label")))
+        ws.drop(labels)
+        labels, fresh = merged, new
+
+
 def strong_components(edges: DataFrame, ws: Workspace) -> DataFrame:
-    """(id, scc): the members of every strongly connected component that holds a circle, named by its smallest id."""
-    pairs = closure(edges, ws)
-    mutual = pairs.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi")
-    return mutual.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("scc"))
+    """(id, scc): the members of every strongly connected component that holds a circle, named by its smallest id.
+
+    Ids that nothing reaches or that reach nothing are trimmed away. Of the rest each takes the least id that reaches it as its colour, and those of a
+    colour that can get back to the id it is named by are its component. What is left goes into the next round. Every step is a join over
+    the edges; no pairs of ids are formed. The steps grow with the longest path, not with its closure.
+    """
+    links = ws.put(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    found = [ws.put(links.where("src = dst").select(F.col("src").alias("id"), F.col("src").alias("scc")), keep=True)]  # circles of one
+    links, n = _counted(ws, links.where("src <> dst"))
+    while n:
+        last = n + 1
+        while n and n < last:
+            last = n
+            ends = links.select(F.col("dst").alias("src")).distinct(), links.select(F.col("src").alias("dst")).distinct()
+            links, n = _counted(ws, links.join(ends[0], "src", "left_semi").join(ends[1], "dst", "left_semi"))
+        if not n:
+            break
+        ids = links.select(F.col("src").alias("id")).unionByName(links.select(F.col("dst").alias("id"))).distinct()
+        colours = _spread(links, ids.select("id", F.col("id").alias("label")), ws)
+        of = lambda c: colours.select(F.col("id").alias(c), F.col("label").alias(f"{c}_colour"))  # noqa: B023, E731
+        inside = links.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour")
+        back = ws.put(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        # backwards within a colour from the id it is named by: reached ids are marked with it, others keep a mark above every id
+        above = F.lit("\U0010ffff")
+        marked = _spread(back, colours.select("id", F.when(F.col("id") == F.col("label"), F.col("id")).otherwise(above).alias("label")), ws)
+        found.append(ws.put(marked.where(F.col("label") != above).select("id", F.col("label").alias("scc")), keep=True))
+        rest = marked.where(F.col("label") == above).select("id")
+        links, n = _counted(ws, links.join(rest.select(F.col("id").alias("src")), "src", "left_semi").join(rest.select(F.col("id").alias("dst")), "dst", "left_semi"))
+    sizes = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min("scc").alias("scc"))
+    circles = reduce(DataFrame.unionByName, found[1:]).groupBy("scc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("scc") if len(found) > 1 else None
+    single = found[0].select("id")
+    if circles is None:
+        return sizes
+    in_circle = sizes.join(circles, "scc", "left_semi").select("id", "scc")
+    return in_circle.unionByName(sizes.join(single, "id", "left_semi").join(in_circle.select("id"), "id", "left_anti").select("id", "scc"))
 
 
 def activation_fixpoint(needs: DataFrame, roots: DataFrame, ws: Workspace) -> DataFrame:

@@ -72,7 +72,7 @@ rr as (select case when p.id is null then 'reply_unresolved' else 'reply_too_lat
 """
 
 
-@query()
+@query(REPLY + "select kind, \"where\", detail from rr")
 def unresolved_replies(spark: SparkSession, folder: str) -> DataFrame:
     return validate.unresolved_replies(journal_of(spark, folder))
 
@@ -244,11 +244,11 @@ def asof_thread(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-, s as (select id, json_extract_string(props, '$.started_on')::date first from n where type = 'Project' and json_extract_string(props, '$.started_on') >= '2026-12-01')
+, s as (select id, json_extract_string(props, '$.started_on')::date first from n where type = 'Project' and json_extract_string(props, '$.started_on') is not null)
 select id, d + interval 9 hour "at" from s, generate_series(first, first + interval 27 day, interval 1 day) t(d) where isodow(d) < 6""")
 def cadence_daily(spark: SparkSession, folder: str) -> DataFrame:
     start = F.to_date(g.prop("started_on"))
-    spans = g.TemporalGraph.load(spark, folder).of_type("Project").where(g.prop("started_on") >= "2026-12-01").select("id", start.alias("first"), F.date_add(start, 27).alias("last"))
+    spans = g.TemporalGraph.load(spark, folder).of_type("Project").where(start.isNotNull()).select("id", start.alias("first"), F.date_add(start, 27).alias("last"))
     return journal.expand_cadence(spans, "daily:workdays")
 
 

@@ -33,9 +33,8 @@ def _reference_graph(spark: SparkSession, folder: str) -> tuple[list[orphans.For
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    with Workspace(spark, "p1") as ws:
-        found = orphans.cascade(*_reference_graph(spark, folder), ws)
-        return found.where("kind = 'direct'").select("tab", "row_key", "field_name", "ref_id", "state")
+    """The failing references themselves; what hangs on orphaned records in turn is in p1_report."""
+    return orphans.direct_orphans(*_reference_graph(spark, folder)).select("tab", "row_key", "field_name", "ref_id", "state")
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -85,7 +84,8 @@ def _p2(spark: SparkSession, folder: str) -> DataFrame:
     changes = states.unionByName(memberships).withColumn("available", F.when(F.col("created").isNotNull() & F.col("seen").isNotNull(), F.greatest("created", "seen")).otherwise(no_time))
     tracks = {"state": F.when(F.col("rev").isNotNull(), F.struct("created", "rev")), "team": F.when(F.col("edge_id").isNotNull(), F.struct("created", "edge_id"))}
     last = changes.where("created is not null or rev is not null").groupBy("entity_id").agg(*[F.max(c).alias(f"last_{n}") for n, c in tracks.items()]).where("last_state is not null")
-    known = asof.carry_forward(events.join(last, "entity_id"), changes, "entity_id", "ts", "available", tracks)
+    with Workspace(spark, "p2") as ws:
+        known = asof.carry_forward(events.join(last, "entity_id"), changes, "entity_id", "ts", "available", tracks, ws)
     return known.select(
         "event_id", "entity_id", "ts",
         F.coalesce("state.rev", F.lit(-1)).alias("rev"), F.coalesce("team.edge_id", F.lit("")).alias("edge_id"),

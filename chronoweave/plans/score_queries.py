@@ -94,9 +94,6 @@ def attribution_gaps(spark: SparkSession, folder: str) -> DataFrame:
     return means.select("department", gap("at_later", "at_then").alias("understanding"), gap("at_then", "mentions").alias("reasoning"), gap("at_later", "mentions").alias("total"))
 
 
-SQL["attribution_gaps"] = SQL["attribution_gaps"]
-
-
 @query(SETS + ", m as (select department, avg(f1) f1, count(*) n from sc where runner = 'at_then' group by department) select round(avg(f1), 6) mean_f1, round(stddev_pop(f1), 6) sd_f1, round(min(f1), 6) min_f1, round(max(f1), 6) max_f1, count(*) n_groups from m")
 def scale_stats(spark: SparkSession, folder: str) -> DataFrame:
     means = _runs(spark, folder).where("runner = 'at_then'").groupBy("department").agg(F.avg("f1").alias("f1"))
@@ -202,32 +199,88 @@ def greedy_alignment(spark: SparkSession, folder: str) -> DataFrame:
         return score.align(c.join(blocks, "other")).select("other", "gold")
 
 
-QA = """
-, lab as (select id, coalesce(nullif(aliases[1], ''), nullif(json_extract_string(props, '$.name'), ''), nullif(json_extract_string(props, '$.title'), ''), nullif(json_extract_string(props, '$.statement'), ''), id) l from n),
-tpl(t, q) as (values ('reports_to', 'Who does %s report to?'), ('member_of', 'Which teams is %s a member of?'), ('works_on', 'What does %s work on?'), ('leads', 'What does %s lead?'), ('advances_goal', 'Which goals does %s advance?')),
-d as (select 'direct_relation' rt, t qtype, replace(q, '%s', l) question, src, list_sort(list(distinct dst)) ids, 'easy' difficulty from e join tpl on t = type join lab on lab.id = src where dst is not null group by all),
-c as (select 'aggregation' rt, 'headcount' qtype, 'How many members does ' || l || ' have?' question, dst src, list_sort(list(distinct src)) ids, 'medium' difficulty from e join lab on lab.id = dst where type = 'member_of' and src is not null and dst in (select id from n where type = 'Team') group by dst, l),
-pq as (select 'provenance' rt, 'provenance' qtype, 'Which documents mention ' || l || '?' question, entity_id src, list_sort(list(distinct artifact_id)) ids, 'medium' difficulty from mentions join art on artifact_path = path join lab on lab.id = entity_id group by entity_id, l),
-x as (select * from d union all select * from c union all select * from pq)
-select 'qa-' || substr(sha1(rt || chr(0) || qtype || chr(0) || question || chr(0) || list_aggregate(list_transform(ids, lambda i: i || chr(0)), 'string_agg', '')), 1, 12) id, rt reasoning_type, qtype, question, array_to_string(ids, '|') expected_ids, difficulty from x"""
-
+# The questions asked, by what they ask about: (edge type or kind, qtype, difficulty, template).
+DIRECT = (
+    ("reports_to", "who", "easy", "Who does {} report to?"),
+    ("leads", "what", "easy", "What team or department does {} lead?"),
+    ("member_of", "what", "easy", "What teams and projects is {} a member of?"),
+    ("owns", "what", "easy", "What goals does {} own?"),
+    ("authored", "what", "medium", "What artifacts did {} author?"),
+)
+COUNTS = (
+    ("member_of", "Team", "How many people are on {}?"),
+    ("reports_to", "Person", "How many people report directly to {}?"),
+    ("part_of", "Department", "How many teams are in {}?"),
+)
+CHAIN, DEPARTMENT, GROUNDED = "Who is in {}'s management chain, all the way up?", "Which department is {} in?", "Which artifacts mention or ground {}?"
+ADVANCERS, SUBGOALS = "What advances the goal '{}', directly or through its subgoals?", "What are the subgoals of the goal '{}'?"
+
+_q = lambda t: "'" + t.replace("'", "''") + "'"
+_direct = " union all ".join(f"select '{e}' t, '{k}' qtype, '{d}' difficulty, {_q(t)} q" for e, k, d, t in DIRECT)
+_counts = " union all ".join(f"select '{e}' t, '{k}' of, {_q(t)} q" for e, k, t in COUNTS)
+QA = f"""
+, lab as (select id, type, coalesce(nullif(aliases[1], ''), nullif(json_extract_string(props, '$.name'), ''), nullif(json_extract_string(props, '$.title'), ''), nullif(json_extract_string(props, '$.statement'), ''), id) l from n),
+ed as (select distinct type, src, dst from e where src is not null and dst is not null),
+al as (select distinct src, dst from ed where type = 'reports_to'), am as (select src, min(dst) dst from al group by src),
+ar(a, b) as (select src, dst from am union select ar.a, am.dst from ar join am on am.src = ar.b),
+an as (select src id, dst up from al where src <> dst union select ar.a, al.dst from ar join al on al.src = ar.b where ar.a <> al.dst),
+sg(a, b) as (select src, dst from ed where type = 'subgoal_of' union select sg.a, ed.dst from sg join ed on ed.src = sg.b and ed.type = 'subgoal_of'),
+tg as (select id goal, id dst from n where type = 'Goal' union select b, a from sg),
+m(rt, qtype, difficulty, q, id, x) as (
+ select 'direct_relation', qtype, difficulty, q, src, dst from ed join ({_direct}) d on d.t = ed.type
+ union all select 'transitive', 'who', '', {_q(CHAIN)}, an.id, up from an join n using (id) where n.type = 'Person'
+ union all select 'transitive', 'which', 'medium', {_q(DEPARTMENT)}, a.src, b.dst from ed a join ed b on b.src = a.dst join n p on p.id = a.src join n t on t.id = a.dst join n d on d.id = b.dst
+   where a.type = 'member_of' and b.type = 'part_of' and p.type = 'Person' and t.type = 'Team' and d.type = 'Department'
+ union all select 'provenance', 'which', 'medium', {_q(GROUNDED)}, entity_id, artifact_id from mentions join art on artifact_path = path
+ union all select 'aggregation', 'count', 'medium', q, dst, src from ed join ({_counts}) c on c.t = ed.type join n on n.id = ed.dst and n.type = c.of
+ union all select 'goal_tree', 'what', 'hard', {_q(ADVANCERS)}, goal, src from tg join ed using (dst) join n on n.id = goal and n.type = 'Goal' where ed.type = 'advances_goal'
+ union all select 'goal_tree', 'what', 'medium', {_q(SUBGOALS)}, dst, src from ed join n on n.id = dst and n.type = 'Goal' where ed.type = 'subgoal_of'),
+g as (select rt, qtype, any_value(difficulty) difficulty, q, id, list_sort(list(distinct x)) ids from m where x is not null group by rt, qtype, q, id),
+z as (select rt, qtype, case when difficulty = '' then case when len(ids) > 1 then 'hard' else 'medium' end else difficulty end difficulty, replace(q, '{{}}', lab.l) question, ids from g join lab using (id))
+select 'qa-' || substr(sha1(rt || chr(0) || qtype || chr(0) || question || chr(0) || list_aggregate(list_transform(ids, lambda i: i || chr(0)), 'string_agg', '')), 1, 12) id, rt reasoning_type, qtype, question, array_to_string(ids, '|') expected_ids,
+ case when rt = 'aggregation' then len(ids)::varchar when rt <> 'provenance' and len(ids) = 1 then coalesce((select l from lab where lab.id = ids[1]), ids[1]) end expected_label, difficulty from z"""
 
 @query(QA)
 def qa_generate(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions over the graph with their expected ids and a stable id."""
+    """All questions over the graph in their fixed order: with expected ids, the label of a lone answer, and an id hashed from the content.
+
+    Answers are gathered as long rows (question, asked about, answer) and made a sorted list once.
+    """
     t = g.TemporalGraph.load(spark, folder)
-    labels = t.nodes.select("id", g.question_label().alias("l"))
-    templates = {"reports_to": "Who does %s report to?", "member_of": "Which teams is %s a member of?", "works_on": "What does %s work on?", "leads": "What does %s lead?", "advances_goal": "Which goals does %s advance?"}
-    tpl = spark.createDataFrame(list(templates.items()), "type string, q string")
-    ids = lambda c: F.array_sort(F.collect_set(c)).alias("ids")
-    direct = t.edges.where("dst is not null").join(F.broadcast(tpl), "type").groupBy("type", "q", "src").agg(ids("dst")).join(labels.withColumnRenamed("id", "src"), "src")
-    direct = direct.select(F.lit("direct_relation").alias("rt"), F.col("type").alias("qtype"), F.expr("replace(q, '%s', l)").alias("question"), "ids", F.lit("easy").alias("difficulty"))
-    heads = t.headcount("member_of", "Team").join(labels, "id").select(F.lit("aggregation").alias("rt"), F.lit("headcount").alias("qtype"), F.concat(F.lit("How many members does "), "l", F.lit(" have?")).alias("question"), F.col("members").alias("ids"), F.lit("medium").alias("difficulty"))
-    said = g.groundings(read_table(spark, folder, "mentions"), t.nodes).join(labels.withColumnRenamed("id", "entity_id"), "entity_id")
-    said = said.select(F.lit("provenance").alias("rt"), F.lit("provenance").alias("qtype"), F.concat(F.lit("Which documents mention "), "l", F.lit("?")).alias("question"), F.col("artifacts").alias("ids"), F.lit("medium").alias("difficulty"))
-    rows, nul = reduce(DataFrame.unionByName, [direct, heads, said]), F.lit("\x00")
-    key = F.concat("rt", nul, "qtype", nul, "question", nul, F.array_join(F.transform("ids", lambda i: F.concat(i, nul)), ""))
-    return rows.select(F.concat(F.lit("qa-"), F.substring(F.sha1(key), 1, 12)).alias("id"), F.col("rt").alias("reasoning_type"), "qtype", "question", F.array_join("ids", "|").alias("expected_ids"), "difficulty")
+    edges = t.edges.where("src is not null and dst is not null").select("type", "src", "dst").distinct()
+    with Workspace(spark, "qa") as ws:
+        edges = ws.put(edges, keep=True)
+        nodes = ws.put(t.nodes.select("id", "type", g.question_label().alias("l")), keep=True)
+        of = lambda kind: nodes.where(F.col("type") == kind).select("id")
+        typed = lambda *kinds: edges.where(F.col("type").isin(*kinds))
+        ask = lambda df, rt, qtype, difficulty, q, about, answer: df.select(F.lit(rt).alias("rt"), F.lit(qtype).alias("qtype"), F.lit(difficulty).alias("difficulty"), F.lit(q).alias("q"), F.col(about).alias("id"), F.col(answer).alias("x"))
+        teams = typed("member_of").select("src", F.col("dst").alias("team")).join(of("Team").withColumnRenamed("id", "team"), "team", "left_semi")
+        within = typed("part_of").select(F.col("src").alias("team"), "dst").join(of("Department").withColumnRenamed("id", "dst"), "dst", "left_semi")
+        goals = of("Goal").withColumnRenamed("id", "goal")
+        below = traverse.closure(typed("subgoal_of"), ws).select(F.col("b").alias("goal"), F.col("a").alias("dst"))
+        targets = goals.select("goal", F.col("goal").alias("dst")).unionByName(below.join(goals, "goal", "left_semi")).distinct()
+        said = g.groundings(read_table(spark, folder, "mentions"), t.nodes).select(F.col("entity_id").alias("id"), F.explode("artifacts").alias("x"))
+        parts = [ask(typed(e), "direct_relation", k, d, q, "src", "dst") for e, k, d, q in DIRECT]
+        parts += [ask(typed(e).join(of(k).withColumnRenamed("id", "dst"), "dst", "left_semi"), "aggregation", "count", "medium", q, "dst", "src") for e, k, q in COUNTS]
+        parts += [
+            ask(traverse.ancestors(typed("reports_to"), ws).join(of("Person"), "id", "left_semi"), "transitive", "who", "", CHAIN, "id", "ancestor"),
+            ask(teams.join(of("Person").withColumnRenamed("id", "src"), "src", "left_semi").join(within, "team"), "transitive", "which", "medium", DEPARTMENT, "src", "dst"),
+            ask(said, "provenance", "which", "medium", GROUNDED, "id", "x"),
+            ask(typed("advances_goal").join(targets, "dst"), "goal_tree", "what", "hard", ADVANCERS, "goal", "src"),
+            ask(typed("subgoal_of").join(goals.withColumnRenamed("goal", "dst"), "dst", "left_semi"), "goal_tree", "what", "medium", SUBGOALS, "dst", "src"),
+        ]
+        drafts = reduce(DataFrame.unionByName, parts).groupBy("rt", "qtype", "difficulty", "q", "id").agg(F.array_sort(F.collect_set("x")).alias("ids"))
+        named = drafts.join(nodes.select("id", "l"), "id").withColumn("question", F.replace("q", F.lit("{}"), F.col("l")))
+        lone = F.when((F.size("ids") == 1) & ~F.col("rt").isin("provenance", "aggregation"), F.col("ids")[0])
+        labelled = named.drop("l").withColumn("lone", lone).join(nodes.select(F.col("id").alias("lone"), F.col("l").alias("lone_label")), "lone", "left")
+        nul = F.lit("\x00")
+        key = F.concat("rt", nul, "qtype", nul, "question", nul, F.array_join(F.transform("ids", lambda i: F.concat(i, nul)), ""))
+        hard = F.when(F.col("difficulty") != "", F.col("difficulty")).otherwise(F.when(F.size("ids") > 1, "hard").otherwise("medium"))
+        rows = labelled.orderBy("rt", "qtype", "question", "ids").select(
+            F.concat(F.lit("qa-"), F.substring(F.sha1(key), 1, 12)).alias("id"), F.col("rt").alias("reasoning_type"), "qtype", "question", F.array_join("ids", "|").alias("expected_ids"),
+            F.when(F.col("rt") == "aggregation", F.size("ids").cast("string")).otherwise(F.coalesce("lone_label", "lone")).alias("expected_label"), hard.alias("difficulty"),
+        )
+        return rows
 
 
 @query("""

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators import graph as g
 from chronoweave.functions import stable
-from chronoweave.operators import journal, kgbuild, text
+from chronoweave.operators import flatten, journal, kgbuild, text
 from chronoweave.plans.graph_queries import PRE
+from chronoweave.plans.problems import LISTS, P6_SQL, p6_flat
 from chronoweave.runtime import Workspace, read_table
 
 QUERIES: dict = {}
@@ -71,17 +72,37 @@ def tfidf_cosine(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.where("cosine >= 0.5").withColumn("cosine", F.round("cosine", 6))
 
 
-@query("select lower(trim(surface_form)) surface, count(distinct entity_id) n_entities, string_agg(distinct entity_id, '|' order by entity_id) entities from mentions where trim(surface_form) <> '' and entity_id is not null group by 1")
+SURFACES = """
+sf as (select distinct lower(trim(f)) surface, entity_id from (select canonical f, entity_id from aliases union all select unnest(aliases), entity_id from aliases union all select surface_form, entity_id from mentions)
+  where trim(f) <> '' and entity_id is not null)"""
+
+
+def _surfaces(spark: SparkSession, folder: str) -> DataFrame:
+    """(surface, entity_id): every form under which the alias table or a mention knows an entity."""
+    aliases, mentions = read_table(spark, folder, "aliases"), read_table(spark, folder, "mentions")
+    named = aliases.select("entity_id", F.explode(F.concat(F.array("canonical"), F.coalesce("aliases", F.array()))).alias("surface"))
+    forms = named.unionByName(mentions.select("entity_id", F.col("surface_form").alias("surface"))).select(F.lower(F.trim("surface")).alias("surface"), "entity_id")
+    return forms.where("surface <> '' and entity_id is not null").distinct()
+
+
+@query("with" + SURFACES + " select surface, count(*) n_entities, string_agg(entity_id, '|' order by entity_id) entities from sf group by surface")
 def alias_index(spark: SparkSession, folder: str) -> DataFrame:
-    rows = read_table(spark, folder, "mentions").where("trim(surface_form) <> '' and entity_id is not null").groupBy(F.lower(F.trim("surface_form")).alias("surface"))
-    return rows.agg(F.countDistinct("entity_id").alias("n_entities"), F.array_join(F.array_sort(F.collect_set("entity_id")), "|").alias("entities"))
+    rows = _surfaces(spark, folder).groupBy("surface")
+    return rows.agg(F.count(F.lit(1)).alias("n_entities"), F.array_join(F.array_sort(F.collect_list("entity_id")), "|").alias("entities"))
 
 
 def _roster(spark: SparkSession, folder: str) -> DataFrame:
     return text.roster(g.TemporalGraph.load(spark, folder).nodes.select("id", "type", g.surfaces().alias("surfaces")))
 
 
-@query()
+ROSTER = """
+, so as (select id, type, list_position(['Person', 'Project', 'Initiative', 'Team', 'Goal', 'Department', 'Company'], type) o,
+  list_filter(list_concat([coalesce(nullif(json_extract_string(props, '$.name'), ''), nullif(json_extract_string(props, '$.statement'), ''), nullif(json_extract_string(props, '$.title'), ''))], coalesce(aliases, [])), lambda x: x <> '') f from n),
+ro as (select surface, arg_min(id, (o, id)) entity_id from (select id, o, unnest(f) surface from so where o > 0) group by surface)
+"""
+
+
+@query(ROSTER + "select surface, entity_id from ro", pre=PRE)
 def roster(spark: SparkSession, folder: str) -> DataFrame:
     return _roster(spark, folder)
 
@@ -91,7 +112,12 @@ def mention_tagger(spark: SparkSession, folder: str) -> DataFrame:
     return text.tag_mentions(read_table(spark, folder, "documents").select("doc_id", "text"), _roster(spark, folder))
 
 
-@query()
+@query(ROSTER + r"""
+, ru as (select distinct doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:[-''’][A-Z][a-z]+)?(?:[ \t]+[A-Z][a-z]+(?:[-''’][A-Z][a-z]+)?)+')) surface from documents where text is not null),
+wd as (select doc_id, surface, regexp_split_to_array(surface, '[ \t]+') w from ru where surface not in (select surface from ro)),
+st as (select distinct surface from (select surface, unnest(w) x from wd) where x not in (select surface from ro))
+select doc_id, surface from wd where surface in (select surface from st) and w[1] not in ("""
+    + ", ".join(f"'{w}'" for w in text.OPENERS) + ")", pre=PRE)
 def unresolved_names(spark: SparkSession, folder: str) -> DataFrame:
     return text.unresolved_names(read_table(spark, folder, "documents").where("text is not null"), _roster(spark, folder))
 
@@ -133,14 +159,10 @@ def overlapping_spans(spark: SparkSession, folder: str) -> DataFrame:
     return m.withColumn("held", F.max(F.col("o") + F.col("l")).over(before)).where("o < held").groupBy("artifact_path").agg(F.count(F.lit(1)).alias("n_overlaps"))
 
 
-@query("""
-, s as (select distinct lower(canonical) surface, entity_id from aliases where trim(canonical) <> ''),
-q as (select id, lower(any_value(text)) t from chunks group by id)
-select distinct q.id, entity_id from q join s on contains(t, surface) and regexp_matches(' ' || t || ' ', '[^a-z0-9_]' || regexp_escape(surface) || '[^a-z0-9_]')""", pre=PRE)
+@query()
 def alias_resolve(spark: SparkSession, folder: str) -> DataFrame:
-    """Which entities the chunks name by their canonical form."""
-    index = read_table(spark, folder, "aliases").select(F.col("canonical").alias("surface"), "entity_id").distinct()
-    return kgbuild.resolve_aliases(read_table(spark, folder, "chunks").groupBy("id").agg(F.max("text").alias("text")), index)
+    """Which entities the chunks name by any of their forms. Leftmost and longest claims depend on each other, which SQL cannot say; a test holds it against brute force."""
+    return kgbuild.resolve_aliases(read_table(spark, folder, "chunks").groupBy("id").agg(F.max("text").alias("text")), _surfaces(spark, folder))
 
 
 @query("""
@@ -153,15 +175,11 @@ def mention_snippets(spark: SparkSession, folder: str) -> DataFrame:
     return kgbuild.snippets(mentions.join(texts.select(F.col("path").alias("artifact_path")), "artifact_path", "left_semi"), texts)
 
 
-@query("""
-, b as (select distinct bundle_id, body from kg_bundles where json_valid(body)),
-m as (select bundle_id, unnest(case json_type(body, '$.mentions') when 'ARRAY' then json_extract(body, '$.mentions[*]') else [] end) x from b)
-select bundle_id, x->>'entity_id' entity_id, count(*) n from m where x->>'entity_id' is not null group by all""", pre=PRE)
+@query(P6_SQL + "select rid bundle_id, x->>'$.entity_id' entity_id, count(distinct item_no) n from k where ln = 'mentions' and x->>'$.entity_id' is not null group by all")
 def bundle_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Mentions listed at the top of the bundles, by entity."""
-    rows = read_table(spark, folder, "kg_bundles").select("bundle_id", "body").distinct().withColumn("v", F.expr("try_parse_json(body)"))
-    entries = rows.select("bundle_id", F.explode(F.expr("try_variant_get(v, '$.mentions', 'array<variant>')")).alias("x"))
-    return entries.select("bundle_id", F.expr("try_variant_get(x, '$.entity_id', 'string')").alias("entity_id")).where("entity_id is not null").groupBy("bundle_id", "entity_id").agg(F.count(F.lit(1)).alias("n"))
+    """Mentions of the bundles by entity, however the bundle is wrapped, encoded or divided into parts."""
+    items = flatten.table(p6_flat(spark, folder, "mentions"), LISTS["mentions"], 0).where("entity_id is not null")
+    return items.groupBy(F.col("record_id").alias("bundle_id"), "entity_id").agg(F.countDistinct("no_0").alias("n"))
 
 
 @query()
