@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from chronoweave.runtime import small
+
 
 def subseed(root: int, *parts: object) -> int:
     """64 bits of BLAKE2b over the root and its parts, joined by the unit separator."""
@@ -52,7 +54,7 @@ def arrivals(keys: DataFrame, seed: int, per_day: float, days: int) -> DataFrame
 
 
 def confidence(c: Column) -> Column:
-    """A JSON text as a number kept between 0 and 1; what is no number counts as 1."""
+    """A JSON text as a number kept between 0 and 1; what is no number counts as 1, a number in quotes included."""
     return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c.try_cast("double"))), F.lit(1.0))
 
 
@@ -70,6 +72,6 @@ def context(text: Column, offset: Column, length: Column, surface: Column, reach
 
 def token_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Cost per model of (model, input_tokens, output_tokens, cached): cached calls cost nothing, prices are per million tokens."""
-    paid = usage.where("not cached").join(F.broadcast(prices), "model", "left")
+    paid = usage.where("not cached").join(small(prices), "model", "left")
     cost = (F.col("input_tokens") * F.col("input_price") + F.col("output_tokens") * F.col("output_price")) / 1e6
     return paid.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.coalesce(cost, F.lit(0.0))).alias("cost"))
