@@ -87,3 +87,9 @@ def carry_forward(events: DataFrame, changes: DataFrame, key: str, at: str, avai
     best = {n: F.when(known, F.greatest(n, F.when(F.col("_alone"), F.col(f"_upto_{n}")).otherwise(F.col(f"_before_{n}")))) for n in names}
     out = carried.join(F.broadcast(before), [key, "_slice"], "left").withColumns(best)
     return out.drop("_at", "_prio", "_slice", "_alone", "_sub", *[f"_{p}_{n}" for n in names for p in ("before", "upto")])
+
+
+def before_slices(rows: DataFrame, cuts: DataFrame, key: str, at: str, of: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with _slice, and (key, _slice, one column each of ``of``): an aggregate over each slice of the cut keys, for what a window brings in from before its slice."""
+    sliced = with_slice(rows, cuts, key, at).drop("_alone")
+    return sliced, sliced.join(F.broadcast(cuts.select(key)), key, "left_semi").groupBy(key, "_slice").agg(*[c.alias(n) for n, c in of.items()])

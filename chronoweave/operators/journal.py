@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoweave.operators.asof import slice_cuts, with_slice
+from chronoweave.operators.asof import before_slices, slice_cuts, with_slice
 
 #: The working day in minutes from midnight, Monday to Friday.
 OPEN, CLOSE = 9 * 60, 17 * 60
@@ -59,7 +59,7 @@ def conflicts(bookings: DataFrame, person: str = "person") -> DataFrame:
     """
     rows = bookings.where(F.col(person).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select("id", person, "start", "end")
     cuts = slice_cuts(rows.select(person, "start"), person, "start")
-    sliced = with_slice(rows, cuts, person, "start")
+    sliced = with_slice(rows, cuts, person, "start").drop("_alone")
     earlier = Window.partitionBy(person).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = sliced.join(F.broadcast(cuts.select(person)), person, "left_semi").groupBy(person, "_slice").agg(F.max("end").alias("_e"))
     carried = ends.select(person, "_slice", F.max("_e").over(earlier).alias("_carried"))
@@ -92,16 +92,44 @@ def cadence(events: DataFrame, by: str = "type") -> DataFrame:
     return events.groupBy(by).agg(n.alias("n"), F.countDistinct(F.to_date("ts")).alias("n_days"), F.when(n > 1, span / (n - 1)).otherwise(0.0).alias("mean_gap_days"))
 
 
+def previous(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """``rows`` (id, ts, ``value``) with _was: the value of the row before, in order of time and id within ``by``; null for the first.
+
+    Keys with very many rows are cut into slices of time; the last value before a slice comes from one row a slice.
+    """
+    order = F.struct("ts", "id")
+    sliced, ends = before_slices(rows, slice_cuts(rows.select(by, "ts"), by, "ts"), by, "ts", {"_end": F.max(F.struct(order.alias("o"), F.col(value).alias("v")))})
+    earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(by, "_slice", F.max("_end").over(earlier)["v"].alias("_before"), F.lit(True).alias("_cut"))
+    here = Window.partitionBy(by, "_slice").orderBy("ts", "id")
+    met = sliced.withColumn("_n", F.row_number().over(here)).withColumn("_here", F.lag(value).over(here)).join(F.broadcast(carried), [by, "_slice"], "left")
+    return met.withColumn("_was", F.when(F.col("_cut") & (F.col("_n") == 1), F.col("_before")).otherwise(F.col("_here"))).drop("_slice", "_n", "_here", "_before", "_cut")
+
+
 def triggers(readings: DataFrame, by: str, low: Column) -> DataFrame:
     """The first reading of each run of low ones; it is armed again once a reading is not low."""
-    w = Window.partitionBy(by).orderBy("ts", "id")
-    return readings.withColumn("_low", F.coalesce(low, F.lit(False))).withColumn("_was", F.coalesce(F.lag("_low").over(w), F.lit(False))).where("_low and not _was").drop("_low", "_was")
+    met = previous(readings.withColumn("_low", F.coalesce(low, F.lit(False))), by, "_low")
+    return met.where("_low and not coalesce(_was, false)").drop("_low", "_was")
+
+
+def has_overlap(bookings: DataFrame, person: str = "person") -> DataFrame:
+    """(person, has_overlap): whether a booking starts before the one before it ends."""
+    met = previous(bookings.select("id", person, F.col("start").alias("ts"), "end"), person, "end")
+    return met.groupBy(person).agg(F.coalesce(F.bool_or(F.col("ts") < F.col("_was")), F.lit(False)).alias("has_overlap"))
 
 
 def running_stock(demand: DataFrame, by: str, amount: str, initial: float) -> DataFrame:
-    """Stock left after each demand: as demands are not negative, the clamped running difference is the clamped running sum."""
-    w = Window.partitionBy(by).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return demand.withColumn("stock", F.greatest(F.lit(0.0), F.lit(initial) - F.sum(F.greatest(F.lit(0.0), F.col(amount))).over(w)))
+    """Stock left after each demand: as demands are not negative, the clamped running difference is the clamped running sum.
+
+    Keys with very many demands are cut into slices of time; what the slices before took comes from one row a slice.
+    """
+    taken = F.greatest(F.lit(0.0), F.col(amount))
+    sliced, sums = before_slices(demand, slice_cuts(demand.select(by, "ts"), by, "ts"), by, "ts", {"_sum": F.sum(taken)})
+    earlier = Window.partitionBy(by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(by, "_slice", F.sum("_sum").over(earlier).alias("_before"))
+    here = Window.partitionBy(by, "_slice").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = sliced.withColumn("_here", F.sum(taken).over(here)).join(F.broadcast(carried), [by, "_slice"], "left")
+    return met.withColumn("stock", F.greatest(F.lit(0.0), F.lit(initial) - F.col("_here") - F.coalesce("_before", F.lit(0.0)))).drop("_slice", "_here", "_before")
 
 
 def lifecycle(starts: DataFrame, stages: Sequence[tuple[str, float]]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.operators.journal import numbered, slug
 from chronoweave.operators.traverse import components
 from chronoweave.runtime import Workspace, small
 
@@ -54,13 +55,13 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
 
 def tfidf(items: DataFrame) -> DataFrame:
-    """(block, id, term, weight): smoothed tf-idf within the block, scaled to length 1. ``items`` has block, id, terms."""
+    """(block, id, term, weight, df): smoothed tf-idf within the block, scaled to length 1. ``items`` has block, id, terms."""
     tf = items.select("block", "id", F.explode("terms").alias("term")).groupBy("block", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
     n = items.groupBy("block").agg(F.countDistinct("id").alias("n"))
     df = tf.groupBy("block", "term").agg(F.count(F.lit(1)).alias("df")).join(small(n), "block")
     raw = tf.join(df, ["block", "term"]).withColumn("raw", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
     norm = raw.groupBy("block", "id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, ["block", "id"]).select("block", "id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    return raw.join(norm, ["block", "id"]).select("block", "id", "term", (F.col("raw") / F.col("norm")).alias("weight"), "df")
 
 
 def pack(text: str | None, words: int = 150) -> list[str]:
@@ -197,19 +198,33 @@ def unresolved_names(documents: DataFrame, known: DataFrame) -> DataFrame:
 def resolve_mentions(mentions: DataFrame, ws: Workspace, merge_at: float = 0.7) -> DataFrame:
     """(mention_id, entity): mentions of one type that name the same thing. ``mentions`` has id, type, surface.
 
-    Equal normalized names merge outright; distinct names of a type are compared by tf-idf cosine of their character n-grams
-    where they share a rare one, and what reaches ``merge_at`` is joined into components named by their smallest form.
+    Equal normalized names merge outright; distinct names of a type are compared by tf-idf cosine of their character n-grams,
+    and what reaches ``merge_at`` is joined into components named by their smallest form. The context of a mention plays no part.
     """
     rows = mentions.select("id", F.coalesce("type", F.lit("")).alias("block"), normalized(F.col("surface")).alias("form")).where("form <> ''")
     names = ws.put(rows.select("block", "form").distinct(), keep=True)
     vectors = ws.put(tfidf(names.select("block", F.col("form").alias("id"), char_ngrams(F.col("form")).alias("terms"))), keep=True)
-    # prefix filter: two unit vectors whose cosine reaches the bound share a term among the heaviest of one of them
-    order = Window.partitionBy("block", "id").orderBy("weight", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heavy = vectors.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))).where(F.col("rest") >= merge_at)
-    pairs = heavy.select("block", "term", F.col("id").alias("x")).join(vectors.select("block", "term", F.col("id").alias("y")), ["block", "term"]).where("x <> y").select("block", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # prefix filter on both sides, rarest terms first: without what lies behind their prefixes two unit vectors stay below the bound, so
+    # those that reach it share a term of both prefixes, and common terms are hardly ever in one
+    behind = Window.partitionBy("block", "id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rare = vectors.withColumn("rest", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(behind))).where(F.col("rest") >= merge_at - 1e-9).select("block", "term", "id")
+    pairs = rare.withColumnRenamed("id", "x").join(rare.withColumnRenamed("id", "y"), ["block", "term"]).where("x < y").select("block", "x", "y").distinct()
     a, b = vectors.select("block", F.col("id").alias("x"), "term", F.col("weight").alias("wx")), vectors.select("block", F.col("id").alias("y"), "term", F.col("weight").alias("wy"))
     close = pairs.join(a, ["block", "x"]).join(b, ["block", "y", "term"]).groupBy("block", "x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("cosine")).where(F.col("cosine") >= merge_at)
     key = lambda c: F.concat("block", F.lit("\x1f"), c)
     groups = components(close.select(key(F.col("x")).alias("a"), key(F.col("y")).alias("b")), ws)
     named = rows.withColumn("k", key(F.col("form"))).join(groups.select(F.col("id").alias("k"), "component"), "k", "left")
     return named.select(F.col("id").alias("mention_id"), F.split(F.coalesce("component", "k"), "\x1f")[1].alias("entity"), F.col("block").alias("type"))
+
+
+def entities(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(entity_id, type, label, aliases, n_mentions): one row per resolved entity; ``mentions`` has id and surface, ``resolved`` mention_id, entity and type.
+
+    The label is the form used most, then the longest, then the first in order. Ids are type:slug, numbered from the second holder on in the
+    order of label and aliases.
+    """
+    forms = mentions.select(F.col("id").alias("mention_id"), "surface").join(resolved, "mention_id").groupBy("type", "entity", "surface").agg(F.count(F.lit(1)).alias("n"))
+    best = forms.groupBy("type", "entity").agg(F.min_by("surface", F.struct(-F.col("n"), -F.length("surface"), F.col("surface"))).alias("label"), F.array_sort(F.collect_set("surface")).alias("aliases"), F.sum("n").alias("n_mentions"))
+    kind = F.lower(F.when(F.col("type") != "", F.col("type")).otherwise("entity"))
+    based = best.withColumn("base", F.concat(kind, F.lit(":"), slug(F.col("label"), "entity")))
+    return numbered(based, "base", ["label", "aliases", "entity"]).select(F.col("unique_id").alias("entity_id"), "type", "label", "aliases", "n_mentions")

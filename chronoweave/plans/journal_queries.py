@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoweave.operators import graph as g
 from chronoweave.operators import asof, journal, validate
@@ -158,8 +157,7 @@ def scheduling_conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("select user_id person, bool_or(ts < prev) has_overlap from (select user_id, ts, lag(ts + interval 1 hour) over (partition by user_id order by ts, event_id) prev from events) group by user_id", pre="")
 def has_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("person").orderBy("start", "id")
-    return _bookings(spark, folder).withColumn("prev", F.lag("end").over(w)).groupBy("person").agg(F.coalesce(F.bool_or(F.col("start") < F.col("prev")), F.lit(False)).alias("has_overlap"))
+    return journal.has_overlap(_bookings(spark, folder))
 
 
 SQL["has_overlap"] = SQL["has_overlap"].replace("bool_or(ts < prev)", "coalesce(bool_or(ts < prev), false)")

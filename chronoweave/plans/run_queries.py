@@ -77,7 +77,7 @@ def node_link_totals(spark: SparkSession, folder: str) -> DataFrame:
     t = g.TemporalGraph.load(spark, folder)
     v = exports.node_link(t.nodes, t.edges).select(F.from_json("line", "kind string, id string, type string, source string, target string, key string").alias("v")).select("v.*")
     size = lambda *cs: sum((F.coalesce(F.length(c), F.lit(0)) for c in cs), F.lit(0))
-    return v.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(size("id", "key", "type", "source", "target")).cast("decimal(38,0)").alias("size"))
+    return v.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(size("id", "key", "type", "source", "target")).cast("bigint").alias("size"))
 
 
 @query("select id, json_extract_string(props, '$.name') \"name\", json_extract_string(props, '$.code') code, json_extract_string(props, '$.type') p_type, json_extract_string(props, '$.budget_band') budget_band from n where type = 'Project'")

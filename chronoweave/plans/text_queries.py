@@ -132,12 +132,26 @@ def pack_passages(spark: SparkSession, folder: str) -> DataFrame:
     return text.pack_passages(read_table(spark, folder, "documents"))
 
 
+def _mention_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, type, surface) of every mention, typed by the node it names."""
+    kinds = g.TemporalGraph.load(spark, folder).nodes.select(F.col("id").alias("entity_id"), "type")
+    rows = read_table(spark, folder, "mentions").where("trim(surface_form) <> ''").join(kinds, "entity_id", "left")
+    return rows.select(F.sha1(F.concat_ws("\x1f", "artifact_path", "entity_id", "surface_form", F.col("locator.offset").cast("string"))).alias("id"), "type", F.col("surface_form").alias("surface")).distinct()
+
+
 @query()
 def resolve_mentions(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of the second source whose names stand for one entity."""
-    rows = read_table(spark, folder, "recon_nodes").select("id", "type", g.prop("label").alias("surface")).dropDuplicates(["id"])
+    """Mentions of one type whose names stand for one thing, all of the table."""
     with Workspace(spark, "resolve") as ws:
-        return text.resolve_mentions(rows, ws)
+        return text.resolve_mentions(ws.put(_mention_rows(spark, folder), keep=True), ws)
+
+
+@query()
+def resolved_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The entities that the resolved mentions make up, with label, forms and id."""
+    with Workspace(spark, "entities") as ws:
+        rows = ws.put(_mention_rows(spark, folder), keep=True)
+        return text.entities(rows, text.resolve_mentions(rows, ws)).withColumn("aliases", F.array_join("aliases", "|"))
 
 
 @query("""

@@ -85,3 +85,47 @@ def test_two_hops_through_teams(spark):
     n = spark.createDataFrame([("p", "Person"), ("t", "Team"), ("x", "Project"), ("d", "Department")], "id string, type string")
     e = spark.createDataFrame([("member_of", "p", "t"), ("member_of", "p", "x"), ("part_of", "t", "d"), ("part_of", "x", "d"), ("part_of", "t", "x")], "type string, src string, dst string")
     assert [tuple(r) for r in graph.TemporalGraph(n, e, e).two_hop("member_of", "Team", "part_of", "Department").collect()] == [("p", "d")]
+
+
+def test_hot_keys_in_ordered_scans(spark):
+    rng = random.Random(7)
+    rows = [(i, "hot" if i % 8 else f"k{i % 3}", T0 + dt.timedelta(minutes=rng.randrange(4000)), rng.choice([1.0, 2.0, 9.0])) for i in range(9000)]
+    df = spark.createDataFrame(rows, "id int, user string, ts timestamp_ntz, value double")
+    low = {r.id for r in journal.triggers(df, "user", F.col("value") <= 2).collect()}
+    stock = {r.id: r.stock for r in journal.running_stock(df, "user", "value", 5000.0).collect()}
+    booked = df.select("id", F.col("user").alias("person"), F.col("ts").alias("start"), (F.col("ts") + F.expr("interval 1 minute")).alias("end"))
+    overlap = {r.person: r.has_overlap for r in journal.has_overlap(booked).collect()}
+    want, left, crossed = set(), {}, dict.fromkeys({r[1] for r in rows}, False)
+    for user in crossed:
+        was, taken, end = False, 0.0, None
+        for i, _, t, v in sorted((r for r in rows if r[1] == user), key=lambda r: (r[2], r[0])):
+            want |= {i} if v <= 2 and not was else set()
+            was, taken = v <= 2, taken + v
+            left[i] = max(0.0, 5000.0 - taken)
+            crossed[user] |= end is not None and t < end
+            end = t + dt.timedelta(minutes=1)
+    assert low == want and stock == left and overlap == crossed
+
+
+def test_resolution_keeps_every_close_pair_and_names_entities(spark):
+    rng = random.Random(3)
+    base = ["anna berglund", "anne berglund", "carl dahlgren", "karl dahlgren", "eva lund", "eva lundh", "bo ek", "northern trial", "northern trials", "norther trial"]
+    rows = [(str(i), "P" if i % 3 else None, rng.choice(base).title() if i % 2 else rng.choice(base)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, type string, surface string")
+    with Workspace(spark, "t") as ws:
+        resolved = text.resolve_mentions(df, ws).cache()
+        got = {r.mention_id: (r.type, r.entity) for r in resolved.collect()}
+        named = text.entities(df, resolved).collect()
+        vectors = text.tfidf(df.select(F.coalesce("type", F.lit("")).alias("block"), text.normalized(F.col("surface")).alias("id")).distinct().select("block", "id", text.char_ngrams(F.col("id")).alias("terms"))).collect()
+    weight: dict[tuple, dict[str, float]] = {}
+    for v in vectors:
+        weight.setdefault((v.block, v.id), {})[v.term] = v.weight
+    group = {k: k for k in weight}
+    for a in weight:
+        for b in weight:
+            if a[0] == b[0] and sum(w * weight[b].get(t, 0.0) for t, w in weight[a].items()) >= 0.7:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if g == old else g for k, g in group.items()}
+    assert got == {i: group[t or "", s.lower()] for i, t, s in rows}
+    assert sum(r.n_mentions for r in named) == 120 and len({r.entity_id for r in named}) == len(named) and all(r.label in r.aliases for r in named)
+    assert all(r.entity_id.startswith("p:" if r.type == "P" else "entity:") for r in named)
