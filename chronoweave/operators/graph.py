@@ -167,6 +167,35 @@ def type_deltas(changes: DataFrame) -> DataFrame:
     return changes.groupBy("type").agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed")).where("added + removed > 0")
 
 
+def search(nodes: DataFrame, term: str, limit: int = 50) -> DataFrame:
+    """(id, score): the best nodes for a term, ties by label and id. Equal labels score 100, then the shorter the label that holds it, an alias, a property, the id.
+
+    A blank term finds nothing. The limit is the operator's own.
+    """
+    term = term.strip().lower()
+    label, t = F.lower(F.coalesce(prop("name"), prop("title"), F.lit(""))), F.lit(term)
+    ladder = (
+        F.when(label == t, 100.0).when(label.contains(t), 70 - 0.1 * (F.length(label) - len(term))).when(F.exists(F.coalesce("aliases", F.array()), lambda x: F.lower(x).contains(t)), 50.0)
+        .when(F.lower(F.coalesce("props", F.lit(""))).contains(t), 45.0).when(F.lower("id").contains(t), 30.0)
+    )
+    rows = nodes.select("id", label.alias("l"), (ladder if term else F.lit(None).cast("double")).alias("score")).where("score is not null")
+    return rows.orderBy(F.desc("score"), "l", "id").limit(limit).select("id", "score")
+
+
+def first_hits(nodes: DataFrame, term: str, limit: int = 20) -> DataFrame:
+    """(id): the first nodes in id order whose id, label, alias or text property holds the term."""
+    t = F.lit(term.strip().lower())
+    texts = F.map_values(F.from_json("props", "map<string,string>"))
+    held = F.lower("id").contains(t) | F.lower(question_label()).contains(t) | F.exists(F.concat(F.coalesce("aliases", F.array()), F.coalesce(texts, F.array())), lambda x: F.lower(x).contains(t))
+    return nodes.where(F.coalesce(held, F.lit(False))).select("id").orderBy("id").limit(limit)
+
+
+def capped(rows: DataFrame, order: Sequence[str], limit: int = 50) -> DataFrame:
+    """The first ``limit`` rows in the given order, each with ``dropped``: how many were left out."""
+    n = rows.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0)).alias("dropped"))
+    return rows.orderBy(*order).limit(limit).crossJoin(F.broadcast(n))  # one row
+
+
 OPS = ("eq", "ne", "in", "contains", "gte", "lte")
 
 

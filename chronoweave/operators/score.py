@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.operators.traverse import components
+from chronoweave.runtime import Workspace
+
 
 def prf(expected: Column, predicted: Column, both: Column) -> list[Column]:
     """Precision, recall, F1 from counts. Nothing expected and nothing predicted is perfect; one side empty is zero."""
@@ -61,6 +65,28 @@ def compare(gold: DataFrame, other: DataFrame, key: Sequence[str], group: str) -
     return counts.select("*", *prf(F.col("n_expected"), F.col("n_predicted"), F.col("n_both")))
 
 
+def align_nodes(gold: DataFrame, other: DataFrame, candidates: DataFrame, ws: Workspace, rounds: int = 8) -> DataFrame:
+    """(other, gold): one to one. Records with the same id and type are paired first; the rest greedily, each in id order with its smallest candidate still free.
+
+    ``gold`` and ``other`` have id and type, ``candidates`` other and gold. A round settles at once all pairs in which the gold one is the record's
+    smallest candidate and the record the first that could take it, which is what the order comes to. Chains of rivals longer than
+    ``rounds`` are walked one connected group at a time (``align``).
+    """
+    exact = ws.put(other.select("id", "type").distinct().join(gold.select("id", "type").distinct(), ["id", "type"]).select(F.col("id").alias("other"), F.col("id").alias("gold")).distinct(), keep=True)
+    free = lambda df, taken: df.join(taken.select("other"), "other", "left_anti").join(taken.select("gold"), "gold", "left_anti")
+    left, found = ws.put(free(candidates.select("other", "gold").where("other is not null and gold is not null").distinct(), exact)), [exact]
+    for _ in range(rounds):
+        wish, first = left.groupBy("other").agg(F.min("gold").alias("gold")), left.groupBy("gold").agg(F.min("other").alias("other"))
+        found.append(ws.put(wish.join(first, ["other", "gold"]).select("other", "gold"), keep=True))
+        left = ws.put(free(left, found[-1]))
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    groups = components(left.select(F.concat(F.lit("g"), "gold").alias("a"), F.concat(F.lit("o"), "other").alias("b")), ws)
+    blocks = groups.where("id like 'o%'").select(F.expr("substr(id, 2)").alias("other"), F.col("component").alias("block"))
+    found.append(ws.put(align(left.join(blocks, "other")).select("other", "gold"), keep=True))
+    return reduce(DataFrame.unionByName, found)
+
+
 def align(candidates: DataFrame) -> DataFrame:
     """Greedy one-to-one: in order of ``other`` each takes its smallest ``gold`` still free. Runs per ``block``.
 

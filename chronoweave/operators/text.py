@@ -64,23 +64,6 @@ def tfidf(items: DataFrame) -> DataFrame:
     return raw.join(norm, ["block", "id"]).select("block", "id", "term", (F.col("raw") / F.col("norm")).alias("weight"), "df")
 
 
-def pack(text: str | None, words: int = 150) -> list[str]:
-    """Paragraphs (parted by blank lines) packed in order up to about ``words`` words; none is divided."""
-    out: list[str] = []
-    held: list[str] = []
-    size = 0
-    for p in re.split(r"\n\s*\n", text or ""):
-        n = len(p.split())
-        if not n:
-            continue
-        if held and size + n > words:
-            out.append("\n\n".join(held))
-            held, size = [], 0
-        held.append(p.strip())
-        size += n
-    return [*out, "\n\n".join(held)] if held else out
-
-
 def sections(text: str | None) -> list[tuple[str, int, str]]:
     """(breadcrumb, offset of the first character that is not blank, text) of each section; '#' inside fences is no heading."""
     out: list[tuple[str, int, str]] = []
@@ -122,12 +105,20 @@ def chunk_markdown(documents: DataFrame) -> DataFrame:
 
 
 def pack_passages(documents: DataFrame, words: int = 150) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, i, p) for d, x in zip(f["doc_id"], f["text"], strict=True) for i, p in enumerate(pack(x, words))]
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "text"])
+    """(doc_id, idx, text): paragraphs (parted by blank lines) in order, put together as long as they stay within ``words`` words; none is divided.
 
-    return documents.select("doc_id", "text").where("text is not null").mapInPandas(run, "doc_id bigint, idx int, text string")
+    Null and blank texts have no passage. The fold over a document's paragraphs runs in the JVM.
+    """
+    paragraphs = F.filter(F.transform(F.split("text", r"\n(?U:\s*)\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    sized = F.transform(paragraphs, lambda p: F.struct(p.alias("p"), F.size(F.split(p, r"(?U)\s+")).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"), F.lit(0).alias("size"))
+    glued = lambda a, b: F.when(a == "", b).otherwise(F.concat(a, F.lit("\n\n"), b))
+    full = lambda a, x: (a["size"] > 0) & (a["size"] + x["n"] > words)
+    step = lambda a, x: F.when(full(a, x), F.struct(F.concat(a["done"], F.array(a["held"])).alias("done"), x["p"].alias("held"), x["n"].alias("size"))).otherwise(
+        F.struct(a["done"].alias("done"), glued(a["held"], x["p"]).alias("held"), (a["size"] + x["n"]).alias("size"))
+    )
+    passages = F.aggregate(sized, start, step, lambda a: F.when(a["size"] > 0, F.concat(a["done"], F.array(a["held"]))).otherwise(a["done"]))
+    return documents.where("text is not null").select("doc_id", F.posexplode(passages).alias("idx", "text"))
 
 
 def chunk_ticket(tickets: DataFrame) -> DataFrame:

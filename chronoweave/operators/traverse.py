@@ -82,6 +82,23 @@ def distances(edges: DataFrame, start: str, ws: Workspace, directed: bool = Fals
     return reduce(DataFrame.unionByName, layers)
 
 
+def shortest_path(edges: DataFrame, start: str, end: str, ws: Workspace, directed: bool = False) -> DataFrame:
+    """(step, id) from ``start`` to ``end`` along the fewest edges, by the smallest predecessor at every step; no rows if there is no way.
+
+    A start that is the end is a path of one row. The path is read back step by step, as it has but one row a step.
+    """
+    spark = edges.sparkSession
+    met = ws.put(distances(edges, start, ws, directed), keep=True)
+    path, at = [], end
+    while at is not None:
+        row = met.where(F.col("id") == at).first()
+        if row is None:
+            break
+        path.append((row.hops, at))
+        at = row.via
+    return spark.createDataFrame(path, "step int, id string")
+
+
 def components(pairs: DataFrame, ws: Workspace) -> DataFrame:
     """(id, component): connected components of (a, b), named by their smallest id, by alternating large and small stars.
 

@@ -369,19 +369,38 @@ def members_by_department(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 , s as (select id, lower(coalesce(json_extract_string(props, '$.name'), json_extract_string(props, '$.title'), '')) l, lower(id) i, lower(coalesce(props, '')) p, list_transform(coalesce(aliases, []), lambda x: lower(x)) al from n),
-k as (select id, l, case when l = 'bee' then 100.0 when contains(l, 'bee') then 70 - 0.1 * (length(l) - 3) when contains(l, 'cohort') then 70 - 0.1 * (length(l) - 6) when len(list_filter(al, lambda x: contains(x, 'cohort'))) > 0 then 50.0::double when contains(p, 'cohort') then 45.0::double when contains(i, 'cohort') then 30.0::double end::double score from s)
+k as (select id, l, case when l = 'cohort' then 100.0 when contains(l, 'cohort') then 70 - 0.1 * (length(l) - 6) when len(list_filter(al, lambda x: contains(x, 'cohort'))) > 0 then 50.0::double when contains(p, 'cohort') then 45.0::double when contains(i, 'cohort') then 30.0::double end::double score from s)
 select id, round(score, 6) score from k where score is not null order by score desc, l, id limit 50""")
 def search_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """The best fifty by a ladder: label, alias, property, id."""
-    label = F.lower(F.coalesce(g.prop("name"), g.prop("title"), F.lit("")))
-    term = F.lit("cohort")
-    ladder = (
-        F.when(label == "bee", 100.0).when(label.contains("bee"), 70 - 0.1 * (F.length(label) - 3)).when(label.contains(term), 70 - 0.1 * (F.length(label) - 6))
-        .when(F.exists(F.coalesce("aliases", F.array()), lambda x: F.lower(x).contains("cohort")), 50.0)
-        .when(F.lower(F.coalesce("props", F.lit(""))).contains(term), 45.0).when(F.lower("id").contains(term), 30.0)
-    )
-    rows = g.TemporalGraph.load(spark, folder).nodes.select("id", label.alias("l"), ladder.alias("score")).where("score is not null")
-    return rows.orderBy(F.desc("score"), "l", "id").limit(50).select("id", F.round("score", 6).alias("score"))
+    """The best fifty for a term."""
+    return g.search(g.TemporalGraph.load(spark, folder).nodes, "Cohort").withColumn("score", F.round("score", 6))
+
+
+@query("""
+, l as (select id, lower(coalesce(nullif(aliases[1], ''), nullif(json_extract_string(props, '$.name'), ''), nullif(json_extract_string(props, '$.title'), ''), nullif(json_extract_string(props, '$.statement'), ''), id)) l, lower(coalesce(array_to_string(aliases, chr(1)), '')) a,
+  list_transform(case when props is null then [] else json_keys(props) end, lambda k: lower(json_extract_string(props, '$.' || k))) v from n)
+select id from l where contains(lower(id), 'dosing') or contains(l, 'dosing') or contains(a, 'dosing') or len(list_filter(v, lambda x: contains(x, 'dosing'))) > 0 order by id limit 20""")
+def search_first(spark: SparkSession, folder: str) -> DataFrame:
+    """The first twenty in id order that hold a term anywhere."""
+    return g.first_hits(g.TemporalGraph.load(spark, folder).nodes, "dosing")
+
+
+@query("select id, type, (select greatest(count(*) - 50, 0) from n) dropped from n order by id limit 50")
+def capped_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Fifty rows and how many more there are."""
+    return g.capped(g.TemporalGraph.load(spark, folder).nodes.select("id", "type"), ["id"])
+
+
+@query(f"""
+, u(a, b) as (select src, dst from e where src is not null and dst is not null and type in ('part_of', 'works_on', 'leads') union select dst, src from e where src is not null and dst is not null and type in ('part_of', 'works_on', 'leads')),
+d(id, hops) as (select '{START}', 0 union select b, hops + 1 from d join u on a = d.id where hops < 12), m as (select id, min(hops) hops from d group by id),
+w as (select m.id, m.hops, min(k.id) via from m join u on u.b = m.id join m k on k.id = u.a and k.hops = m.hops - 1 group by all),
+b(id, hops) as (select id, hops from m where id = 'department:drug-safety' union all select w.via, w.hops - 1 from b join w on w.id = b.id and w.hops = b.hops)
+select hops step, id from b""")
+def shortest_path(spark: SparkSession, folder: str) -> DataFrame:
+    """One shortest path between two departments over some edge types, the smallest predecessor at every step."""
+    with Workspace(spark, "path") as ws:
+        return traverse.shortest_path(g.TemporalGraph.load(spark, folder).edges_of("part_of", "works_on", "leads"), START, "department:drug-safety", ws)
 
 
 @query("""

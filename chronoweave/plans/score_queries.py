@@ -167,14 +167,18 @@ def provenance_fidelity(spark: SparkSession, folder: str) -> DataFrame:
 ER = """
 , gn as (select distinct type, lower(trim(f)) tok, id from n, unnest(list_concat([json_extract_string(props, '$.name')], coalesce(aliases, []))) t(f) where trim(f) <> ''),
 rn as (select distinct type, lower(trim(f)) tok, id from recon_nodes, unnest(list_concat([json_extract_string(props, '$.label')], coalesce(aliases, []))) t(f) where trim(f) <> ''),
-cand as (select distinct gn.type, rn.id other, gn.id gold from gn join rn on gn.type = rn.type and gn.tok = rn.tok)
+ex as (select n.id from n join recon_nodes r on r.id = n.id and r.type = n.type),
+cand as (select distinct gn.type, rn.id other, gn.id gold from gn join rn on gn.type = rn.type and gn.tok = rn.tok where gn.id not in (select id from ex) and rn.id not in (select id from ex))
 """
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
     forms = lambda df, key: df.select("type", "id", F.explode(F.concat(F.array(g.prop(key)), F.coalesce("aliases", F.array()))).alias("f")).where("trim(f) <> ''").select("type", F.lower(F.trim("f")).alias("tok"), "id").distinct()
     gold = forms(g.TemporalGraph.load(spark, folder).nodes, "name").withColumnRenamed("id", "gold")
-    return forms(read_table(spark, folder, "recon_nodes"), "label").withColumnRenamed("id", "other").join(gold, ["type", "tok"]).select("type", "other", "gold").distinct()
+    found = forms(read_table(spark, folder, "recon_nodes"), "label").withColumnRenamed("id", "other").join(gold, ["type", "tok"]).select("type", "other", "gold").distinct()
+    # what has the same id and type on both sides is aligned already
+    exact = read_table(spark, folder, "recon_nodes").select("id", "type").join(g.TemporalGraph.load(spark, folder).nodes.select("id", "type"), ["id", "type"]).select("id").distinct()
+    return found.join(exact.withColumnRenamed("id", "other"), "other", "left_anti").join(exact.withColumnRenamed("id", "gold"), "gold", "left_anti").select("type", "other", "gold")
 
 
 @query(ER + "select type, other, gold from cand")
@@ -189,14 +193,27 @@ def er_errors(spark: SparkSession, folder: str) -> DataFrame:
     return count("other", "gold", "over_merge").unionByName(count("gold", "other", "under_merge"))
 
 
+def _aligned(spark: SparkSession, folder: str, ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gold nodes, the records of the second source, and their alignment."""
+    gold = ws.put(g.TemporalGraph.load(spark, folder).nodes.select("id", "type"), keep=True)
+    other = ws.put(read_table(spark, folder, "recon_nodes").where("id is not null").select("id", "type").dropDuplicates(["id"]), keep=True)
+    return gold, other, score.align_nodes(gold, other, ws.put(_candidates(spark, folder)), ws)
+
+
 @query()
 def greedy_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    """One-to-one pairs, greedy in id order, within the groups of records that candidates connect."""
-    c = _candidates(spark, folder)
+    """One-to-one pairs of records and gold nodes: by id and type, then greedy in id order by name."""
     with Workspace(spark, "align") as ws:
-        comp = traverse.components(c.select(F.concat(F.lit("g"), "gold").alias("a"), F.concat(F.lit("o"), "other").alias("b")), ws)
-        blocks = comp.select(F.expr("substr(id, 2)").alias("other"), F.col("component").alias("block")).where("id like 'o%'")
-        return score.align(c.join(blocks, "other")).select("other", "gold")
+        return _aligned(spark, folder, ws)[2].select("other", "gold")
+
+
+@query()
+def aligned_fidelity(spark: SparkSession, folder: str) -> DataFrame:
+    """How much of each gold type the second source holds once its records bear the ids of the nodes they are aligned with."""
+    with Workspace(spark, "fidelity") as ws:
+        gold, other, pairs = _aligned(spark, folder, ws)
+        renamed = other.join(pairs.withColumnRenamed("other", "id"), "id", "left").select(F.coalesce("gold", "id").alias("id"), "type")
+        return rounded(score.compare(gold.where("type in ('Person', 'Project', 'Initiative')"), renamed, ["id"], "type"), "p", "r", "f1")
 
 
 # The questions asked, by what they ask about: (edge type or kind, qtype, difficulty, template).

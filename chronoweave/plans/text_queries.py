@@ -127,7 +127,12 @@ def chunk_documents(spark: SparkSession, folder: str) -> DataFrame:
     return text.chunk_markdown(read_table(spark, folder, "documents").select(F.col("artifact_path").alias("path"), "text"))
 
 
-@query()
+@query(r"""
+with recursive s as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*\n'), lambda x: regexp_replace(x, '^[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')), lambda x: x <> '') ps from documents where text is not null),
+p as (select doc_id, k, ps[k] t, len(regexp_split_to_array(ps[k], '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+')) n from s, unnest(range(1, len(ps) + 1)) u(k)),
+r(doc_id, k, idx, size) as (select doc_id, k, 0, n from p where k = 1
+  union all select p.doc_id, p.k, case when r.size + p.n > 150 then idx + 1 else idx end, case when r.size + p.n > 150 then p.n else r.size + p.n end from r join p on p.doc_id = r.doc_id and p.k = r.k + 1)
+select doc_id, idx, string_agg(t, chr(10) || chr(10) order by k) "text" from r join p using (doc_id, k) group by doc_id, idx""")
 def pack_passages(spark: SparkSession, folder: str) -> DataFrame:
     return text.pack_passages(read_table(spark, folder, "documents"))
 

@@ -195,13 +195,14 @@ def test_greedy_alignment_takes_the_lowest_free(spark):
     assert ids(score.align(df), "other", "gold") == [("r1", "g1")]
 
 
-def test_chunking_and_packing():
+def test_chunking_and_packing(spark):
     doc = "intro\n# A\none\n## B\n```\n# no heading\n```\ntwo\n# C\n\n"
     got = text.sections(doc)
     assert [(c, t.split("\n")[0]) for c, _, t in got] == [("", "intro"), ("A", "# A"), ("A > B", "## B"), ("C", "# C")]
     assert all(doc[o : o + len(t)] == t for _, o, t in got)
-    assert text.sections(None) == [] and text.pack("") == []
-    assert [len(p.split()) for p in text.pack("\n\n".join("w " * 60 for _ in range(5)))] == [120, 120, 60]
+    assert text.sections(None) == []
+    packed = text.pack_passages(spark.createDataFrame([(1, ""), (2, "\n\n".join("w " * 60 for _ in range(5))), (3, None), (4, " \n \n\u00a0"), (5, "w " * 400 + "\n\nend")], "doc_id bigint, text string")).collect()
+    assert [(r.doc_id, len(r.text.split())) for r in sorted(packed, key=lambda r: (r.doc_id, r.idx))] == [(2, 120), (2, 120), (2, 60), (5, 400), (5, 1)]
 
 
 def test_tagging_claims_longest_first(spark):

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from chronoweave.operators import asof, graph, journal, kgbuild, text, traverse
+from chronoweave.operators import asof, graph, journal, kgbuild, score, text, traverse
 from chronoweave.runtime import Workspace
 
 T0 = dt.datetime(2027, 3, 1, 9)
@@ -129,3 +129,22 @@ def test_resolution_keeps_every_close_pair_and_names_entities(spark):
     assert got == {i: group[t or "", s.lower()] for i, t, s in rows}
     assert sum(r.n_mentions for r in named) == 120 and len({r.entity_id for r in named}) == len(named) and all(r.label in r.aliases for r in named)
     assert all(r.entity_id.startswith("p:" if r.type == "P" else "entity:") for r in named)
+
+
+def test_alignment_is_greedy_in_id_order(spark):
+    rng = random.Random(11)
+    pairs = sorted({(f"o{rng.randrange(40):02}", f"g{rng.randrange(30):02}") for _ in range(120)}) + [(f"o{50 + i}", f"g{50 + j}") for i in range(30) for j in (i, i + 1)]
+    gold = spark.createDataFrame([(f"g{i:02}", "P") for i in range(90)] + [("same", "P"), ("other type", "P")], "id string, type string")
+    other = spark.createDataFrame([(f"o{i:02}", "P") for i in range(90)] + [("same", "P"), ("other type", "Q")], "id string, type string")
+    taken, want = set(), {("same", "same")}
+    for o in sorted({o for o, _ in pairs}):
+        free = next((g for oo, g in sorted(pairs) if oo == o and g not in taken), None)
+        if free:
+            taken.add(free)
+            want.add((o, free))
+    with Workspace(spark, "t") as ws:
+        df = spark.createDataFrame([*pairs, ("same", "g00"), ("o00", "same")], "other string, gold string")
+        assert {tuple(r) for r in score.align_nodes(gold, other, df, ws).select("other", "gold").collect()} == want
+        assert {tuple(r) for r in score.align_nodes(gold, other, df, ws, rounds=1).select("other", "gold").collect()} == want
+        mine = {r.type: r.f1 for r in score.compare(gold, gold, ["id"], "type").collect()}
+    assert set(mine.values()) == {1.0}
