@@ -78,11 +78,11 @@ def _tagged(rule: int) -> Callable[[Column], Column]:
 
 def _exploded(rows: DataFrame, by_rule: dict[int, Column]) -> DataFrame:
     entries = F.concat(*[F.transform(F.coalesce(a, F.array().cast("array<string>")), _tagged(r)) for r, a in by_rule.items()])
-    return rows.select("id", "identifier", F.explode(entries).alias("e")).select("id", "identifier", "e.*").where("key is not null")
+    return rows.select("id", F.explode(entries).alias("e")).select("id", "e.*").where("key is not null")
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    """(id, identifier, rule, key) of rows with id, person, project, identifier, desk, date, department, initials, site, bare, clean (one row a form).
+    """(id, rule, key) of rows with id, person, project, identifier, desk, date, department, initials, site, bare, clean (one row a form).
 
     Names alone are keys only where ``bare`` says that nothing stronger is given that could contradict them.
     """
@@ -115,7 +115,7 @@ def _keys(rows: DataFrame) -> DataFrame:
         9: F.when(F.col("bare"), F.array(person(full), project(full))),
         MISSPELT: F.array(*[kind(full, e) for kind in (person, project) for e in ends]),
     })
-    return keys.distinct()  # in place again: what states and forms of one id share is one key before anything is shuffled
+    return keys
 
 
 def _figures(c: Column) -> Column:
@@ -204,10 +204,14 @@ def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Wor
     forms = records.join(small(kinds), "type", "left").join(small(departments), "dept", "left")
     forms = forms.withColumns({"person": F.coalesce(kind, F.col("person_like") | ~F.col("coded")), "project": F.coalesce(~kind, ~F.col("person_like"))})
     forms = forms.withColumn("bare", F.col("date").isNull() & (F.coalesce("desk", F.lit("")) == "")).withColumn("initials", _initials(F.col("dept"))).drop("type", "kind", "person_like", "coded", "dept")
-    asked = workspace.put(_keys(_form_rows(forms)))
-    known = _keys(node_forms(states, aliases)).groupBy("rule", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("identifier").alias("theirs"))
-    near = (F.col("rule") != MISSPELT) | (F.levenshtein("identifier", "theirs", 1) >= 0)
-    hits = _one_node(asked.join(known, ["rule", "key"]).where(near))
+    asked = workspace.put(_keys(_form_rows(forms)).distinct())
+    # nodes are numbered, so that the least and the greatest of a key are kept in a hash table instead of sorted text
+    numbers = workspace.put(states.select("id").distinct().withColumn("number", F.monotonically_increasing_id()))
+    node_rows = node_forms(states, aliases).join(small(numbers), "id").withColumn("id", F.col("number"))
+    known = _keys(node_rows).groupBy("rule", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    hits = workspace.put(_one_node(asked.join(known, ["rule", "key"])).withColumnRenamed("node_id", "number").join(small(numbers.withColumnRenamed("id", "node_id")), "number").select("recon_id", "rule", "node_id"))
+    spelt = hits.where(F.col("rule") == MISSPELT).join(asked0.select(F.col("id").alias("recon_id"), "identifier"), "recon_id").join(bearers.select(F.col("id").alias("node_id"), F.col("identifier").alias("theirs")), "node_id")
+    hits = hits.where(F.col("rule") < MISSPELT).unionByName(spelt.where(F.levenshtein("identifier", "theirs", 1) >= 0).select("recon_id", "rule", "node_id").distinct())
     label = F.when(F.col("label").isNotNull(), "labelled").when(F.col("bearer").isNotNull(), "torn").when(F.col("identified").isNotNull(), "stranger").otherwise("open")
     standing = asked0.groupBy(F.col("id").alias("recon_id")).agg(F.first(F.lit(True)).alias("identified"), F.max("lo").alias("bearer")).join(labelled.select("recon_id", F.col("node_id").alias("label")), "recon_id", "left")
     hits = workspace.put(hits.join(standing, "recon_id", "left").select("recon_id", "rule", "node_id", label.alias("standing"), "label"))
@@ -217,7 +221,7 @@ def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Wor
         found.append(workspace.put(left.where(F.col("rule") == rule), keep=True))
         left = workspace.put(left.where(F.col("rule") > rule).join(found[-1].select("recon_id"), "recon_id", "left_anti")) if rule < len(RULES) - 1 else left
     # a known identifier that names several nodes: the weaker rules choose among its bearers, keyed by the identifier too
-    torn = workspace.put(standing.where("bearer is not null and label is null").select(F.col("recon_id").alias("id")).join(asked.where(F.col("rule") < MISSPELT), "id"))
+    torn = workspace.put(standing.where("bearer is not null and label is null").select(F.col("recon_id").alias("id")).join(asked.where(F.col("rule") < MISSPELT), "id").join(asked0.select("id", "identifier"), "id"))
     shared = workspace.put(bearers.select("id", "identifier").distinct().join(torn.select("identifier").distinct(), "identifier", "left_semi"))
     their_keys = _keys(node_forms(states.join(shared.select("id").distinct(), "id", "left_semi"), aliases)).where(F.col("rule") < MISSPELT).select("id", "rule", "key").distinct()
     theirs = shared.join(their_keys, "id")
