@@ -171,8 +171,9 @@ def _learnt(labels: DataFrame, theirs: str, ours: str) -> DataFrame:
 
 
 def _one_node(hits: DataFrame) -> DataFrame:
-    """(recon_id, rule, node_id) where all keys of a record that hit by a rule name one and the same node."""
-    return hits.groupBy(F.col("id").alias("recon_id"), "rule").agg(F.min("lo").alias("node_id"), F.max("hi").alias("_hi")).where("node_id = _hi").drop("_hi")
+    """(recon_id, rule, node_id) where all keys of a record that hit by a rule name one and the same node; the two ends of an identifier are judged apart."""
+    end = F.when(F.col("rule") == MISSPELT, F.col("key")).alias("_end") if "key" in hits.columns else F.lit(None).cast("string").alias("_end")
+    return hits.groupBy(F.col("id").alias("recon_id"), "rule", end).agg(F.min("lo").alias("node_id"), F.max("hi").alias("_hi")).where("node_id = _hi").drop("_hi", "_end")
 
 
 def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Workspace) -> DataFrame:
@@ -183,7 +184,7 @@ def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Wor
     row, never a product. All keys meet in one exact join; the passes run over its few resolved rows.
 
     A record whose identifier (a mail handle, a code) nobody in the first source bears names someone else, whatever name, desk or date
-    it shares, unless that identifier is one letter off that of its namesake. Where the identifier is known but names several
+    it shares, unless that identifier is one letter off that of its one namesake with the same three letters at its beginning or end. Where the identifier is known but names several
     nodes, the first weaker rule that leaves one of these decides.
 
     Records resolved by identifier are the labels. From them is learnt what the second source calls a person or a department of the
@@ -211,7 +212,8 @@ def match(nodes: DataFrame, aliases: DataFrame, recon: DataFrame, workspace: Wor
     known = _keys(node_rows).groupBy("rule", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     hits = workspace.put(_one_node(asked.join(known, ["rule", "key"])).withColumnRenamed("node_id", "number").join(small(numbers.withColumnRenamed("id", "node_id")), "number").select("recon_id", "rule", "node_id"))
     spelt = hits.where(F.col("rule") == MISSPELT).join(asked0.select(F.col("id").alias("recon_id"), "identifier"), "recon_id").join(bearers.select(F.col("id").alias("node_id"), F.col("identifier").alias("theirs")), "node_id")
-    hits = hits.where(F.col("rule") < MISSPELT).unionByName(spelt.where(F.levenshtein("identifier", "theirs", 1) >= 0).select("recon_id", "rule", "node_id").distinct())
+    near = spelt.where(F.levenshtein("identifier", "theirs", 1) >= 0).groupBy("recon_id", "rule").agg(F.min("node_id").alias("node_id"), F.max("node_id").alias("_hi"))
+    hits = hits.where(F.col("rule") < MISSPELT).unionByName(near.where("node_id = _hi").drop("_hi"))
     label = F.when(F.col("label").isNotNull(), "labelled").when(F.col("bearer").isNotNull(), "torn").when(F.col("identified").isNotNull(), "stranger").otherwise("open")
     standing = asked0.groupBy(F.col("id").alias("recon_id")).agg(F.first(F.lit(True)).alias("identified"), F.max("lo").alias("bearer")).join(labelled.select("recon_id", F.col("node_id").alias("label")), "recon_id", "left")
     hits = workspace.put(hits.join(standing, "recon_id", "left").select("recon_id", "rule", "node_id", label.alias("standing"), "label"))

@@ -22,3 +22,13 @@ def test_shared_codes_fall_through_among_their_bearers(spark):
     with Workspace(spark, "t") as ws:
         got = {r.recon_id: (r.node_id, r.rule) for r in entity_match.match(n, spark.createDataFrame([], "entity_id string, canonical string, aliases array<string>"), q, ws).collect()}
     assert got == {"r:name": ("project:a", "name+department"), "r:code": ("project:d", "identifier")}
+
+
+def test_identifiers_one_letter_off(spark):
+    nodes = [(f"person:{i}", "Person", json.dumps({"name": n, "handle": h}), [], 1) for i, n, h in (("a", "Ann Berg", "aberg12345"), ("b", "Ann Berg", "xberg99876"), ("d", "Eva Lund", "elund11111"), ("e", "Eva Lund", "elund22111"), ("c", "Bo Carl", "bcarl777"))]
+    asked = [("r:off", "Ann Berg", "aberg1234"), ("r:far", "Ann Berg", "aberg55555"), ("r:name", "Bo Dahl", "bcarl778"), ("r:swap", "Bo Carl", "bcarl7777"), ("r:torn", "Eva Lund", "elund1111")]  # the last has two namesakes alike at either end
+    n = spark.createDataFrame(nodes, "id string, type string, props string, aliases array<string>, rev int")
+    q = spark.createDataFrame([(i, "Person", json.dumps({"label": label, "contact": {"mail": f"{m}@x.example"}}), []) for i, label, m in asked], "id string, type string, props string, aliases array<string>")
+    with Workspace(spark, "t") as ws:
+        got = {r.recon_id: (r.node_id, r.rule) for r in entity_match.match(n, spark.createDataFrame([], "entity_id string, canonical string, aliases array<string>"), q, ws).collect()}
+    assert got == {"r:off": ("person:a", "name+identifier one letter off"), "r:swap": ("person:c", "name+identifier one letter off")}
