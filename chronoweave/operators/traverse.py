@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from chronoweave.runtime import Workspace
+from chronoweave.runtime import Workspace, shuffle_partitions
+
+#: Links of a closure that every worker may hold, some 70 bytes each in the driver; rows of a batch it gives.
+HELD_LINKS, WALKED_ROWS = 1 << 20, 1 << 16
 
 
 def _counted(ws: Workspace, df: DataFrame, keep: bool = False) -> tuple[DataFrame, int]:
@@ -16,22 +22,77 @@ def _counted(ws: Workspace, df: DataFrame, keep: bool = False) -> tuple[DataFram
     return out, seen.get["n"]
 
 
-def closure(edges: DataFrame, ws: Workspace) -> DataFrame:
+def closure(edges: DataFrame, ws: Workspace, held: int = HELD_LINKS) -> DataFrame:
     """(a, b): every b reachable from a over (src, dst) in one step or more. On a circle a reaches itself.
 
-    Semi-naive with doubling: round k joins the paths found in round k - 1 with all paths so far, so the rounds grow with the
-    logarithm of the depth, and no cap cuts a deep chain. Each round is written, so lineage stays short.
+    Up to ``held`` distinct links are numbered and sent to every worker, where each task walks from its own share of the starts: pairs are
+    made once, where they are read, and never shuffled or written. More links are joined in rounds (see ``_closure_by_joins``).
     """
-    base = edges.where("src is not null and dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    known, n = _counted(ws, base, keep=True)
-    parts, fresh = [known], known
+    links = edges.where("src is not null and dst is not null").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    links, n = _counted(ws, links, keep=True)
+    if not n:
+        return links
+    return _closure_by_joins(links, ws) if n > held else _closure_by_walks(links, ws)
+
+
+def _closure_by_walks(links: DataFrame, ws: Workspace) -> DataFrame:
+    """(a, b) of ``links`` (a, b): the starts are dealt out, and each task walks from its own over all links, in whole numbers."""
+    spark = links.sparkSession
+    table = links.toArrow()
+    ws.drop(links)
+    ends = pa.chunked_array([*table["a"].cast("string").chunks, *table["b"].cast("string").chunks]).combine_chunks().dictionary_encode()
+    src, dst = np.split(ends.indices.to_numpy(zero_copy_only=False).astype(np.int32), 2)
+    order = np.argsort(src, kind="stable")
+    starts, first = np.unique(src[order], return_index=True)
+    shared = spark.sparkContext.broadcast((ends.dictionary, starts, np.append(first, len(order)), dst[order]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, starts, first, onward = shared.value
+        after: list = [()] * len(names)
+        onward = onward.tolist()
+        for k, s in enumerate(starts.tolist()):
+            after[s] = onward[first[k] : first[k + 1]]
+
+        def pairs(froms: list[int], sizes: list[int], reached: list[int]) -> pa.RecordBatch:
+            sides = np.repeat(np.array(froms, np.int32), sizes), np.array(reached, np.int32)
+            return pa.RecordBatch.from_arrays([names.take(pa.array(x)) for x in sides], ["a", "b"])
+
+        for batch in batches:
+            froms, sizes, reached = [], [], []
+            for s in starts[batch.column(0).to_numpy()].tolist():
+                ahead = list(after[s])
+                seen = set(ahead)
+                while ahead:
+                    for x in after[ahead.pop()]:
+                        if x not in seen:
+                            seen.add(x)
+                            ahead.append(x)
+                froms.append(s)
+                sizes.append(len(seen))
+                reached += seen
+                if len(reached) >= WALKED_ROWS:
+                    yield pairs(froms, sizes, reached)
+                    froms, sizes, reached = [], [], []
+            if reached:
+                yield pairs(froms, sizes, reached)
+
+    return spark.range(0, len(starts), 1, shuffle_partitions(spark)).mapInArrow(run, "a string, b string")
+
+
+def _closure_by_joins(links: DataFrame, ws: Workspace) -> DataFrame:
+    """(a, b) of ``links`` (a, b), at their distance: in round k ``parts`` hold the pairs less than 2^k steps apart, ``far`` those exactly as far.
+
+    A way is cut in one place only, 2^k steps before its end, so a pair is met by few joins however long its way is, and the rounds grow with
+    the logarithm of the depth; no cap cuts a deep chain. Each round is written, so lineage stays short.
+    """
+    every = lambda frames: reduce(DataFrame.unionByName, frames)
+    onward = lambda df, far: df.select("a", F.col("b").alias("m")).join(far.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
+    parts, far, n = [], links, 1
     while n:
-        every = reduce(DataFrame.unionByName, parts)
-        forward = fresh.select("a", F.col("b").alias("m")).join(every.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        backward = every.select("a", F.col("b").alias("m")).join(fresh.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
-        fresh, n = _counted(ws, forward.unionByName(backward).distinct().join(every, ["a", "b"], "left_anti"), keep=True)
-        parts.append(fresh)
-    return reduce(DataFrame.unionByName, parts)
+        between = [ws.put(onward(every(parts), far).join(every([*parts, far]), ["a", "b"], "left_anti"), keep=True)] if parts else []
+        parts += [far, *between]
+        far, n = _counted(ws, onward(far, far).join(every(parts), ["a", "b"], "left_anti"), keep=True)
+    return every(parts)
 
 
 def ancestors(edges: DataFrame, ws: Workspace) -> DataFrame:
