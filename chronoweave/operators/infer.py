@@ -30,18 +30,22 @@ def infer(graph: TemporalGraph, ws: Workspace) -> DataFrame:
     def through(pairs: DataFrame, onward: DataFrame) -> DataFrame:
         return pairs.select("s", F.col("o").alias("m")).join(onward.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
 
+    def both_ways(pairs: DataFrame, predicate: str, back: str) -> DataFrame:
+        fact = lambda s, p, o: F.struct(F.col(s).alias("s"), F.lit(p).alias("p"), F.col(o).alias("o"))
+        return pairs.select(F.inline(F.array(fact("s", predicate, "o"), fact("o", back, "s"))))
+
     reports, subgoals, subinits = chain("reports_to"), chain("subgoal_of"), chain("subinitiative_of")
     together, advances = rel("collaborates_with"), rel("advances_goal")
     departments = graph.of_type("Department").select(F.col("id").alias("o"))
+    in_department = through(rel("member_of"), rel("part_of")).unionByName(rel("leads").join(departments, "o", "left_semi"))
+    # each part is a set and has predicates of its own, so that what closures give needs no shuffle
     parts = [
         named(turned(rel("reports_to")), "der:manages"),
-        named(reports, "der:reports_to_chain"),
-        named(turned(reports), "der:manages_chain"),
+        both_ways(reports, "der:reports_to_chain", "der:manages_chain"),
         named(turned(together).join(together, ["s", "o"], "left_anti"), "rel:collaborates_with"),
         named(subgoals, "der:subgoal_of_chain"),
         named(subinits, "der:subinitiative_of_chain"),
-        named(advances.unionByName(through(advances, subgoals)), "der:advances_goal_effective"),
-        named(through(rel("member_of"), rel("part_of")), "der:in_department"),
-        named(rel("leads").join(departments, "o", "left_semi"), "der:in_department"),
+        named(advances.unionByName(through(advances, subgoals)).distinct(), "der:advances_goal_effective"),
+        named(in_department.distinct(), "der:in_department"),
     ]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts)

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from chronoweave.operators import traverse
+from chronoweave.operators import graph, infer, traverse
 from chronoweave.runtime import Workspace
 from tests.test_core import brute_closure
 
@@ -29,3 +29,19 @@ def test_closure_pairs_are_neither_written_nor_shuffled(spark):
         df = traverse.closure(spark.range(399).selectExpr("cast(id as string) src", "cast(id + 1 as string) dst"), ws)
         assert df.count() == 400 * 399 // 2 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
         assert not list(Path(ws.root.removeprefix("file:")).rglob("*.parquet"))
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan()
+
+
+def test_inference_gathers_no_closure(spark):
+    """Its parts are sets with predicates of their own; before, all facts were shuffled once more to be made distinct."""
+    edges = [("reports_to", f"p{i:02}", f"p{i + 1:02}") for i in range(40)] + [("leads", "p01", "d"), ("member_of", "p01", "t"), ("part_of", "t", "d"), ("advances_goal", "p01", "g"), ("advances_goal", "p01", "h"), ("subgoal_of", "g", "h")]
+    e = spark.createDataFrame(edges, "type string, src string, dst string")
+    with Workspace(spark, "t") as ws:
+        df = infer.infer(graph.TemporalGraph(spark.createDataFrame([("d", "Department")], "id string, type string"), e, e), ws)
+        assert optimized(df).nodeName() == "Union"
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got)) and sum(p == "der:manages_chain" for _, p, _ in got) == 41 * 40 // 2
+        assert {r for r in got if r[1] in ("der:in_department", "der:advances_goal_effective")} == {("p01", "der:in_department", "d"), ("p01", "der:advances_goal_effective", "g"), ("p01", "der:advances_goal_effective", "h")}
