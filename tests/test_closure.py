@@ -1,14 +1,18 @@
 """The closure on both its ways, against brute force, and what it moves."""
 
 import random
+from collections import Counter
 from pathlib import Path
 
 import pytest
 
+import __spark_entry__
 from chronoweave.operators import graph, infer, traverse
 from chronoweave.runtime import Workspace
 from tests.test_core import brute_closure
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("held", [0, 1000])
 def test_closure_of_deep_and_round_graphs(spark, held):
@@ -45,3 +49,9 @@ def test_inference_gathers_no_closure(spark):
         got = [tuple(r) for r in df.collect()]
         assert len(got) == len(set(got)) and sum(p == "der:manages_chain" for _, p, _ in got) == 41 * 40 // 2
         assert {r for r in got if r[1] in ("der:in_department", "der:advances_goal_effective")} == {("p01", "der:in_department", "d"), ("p01", "der:advances_goal_effective", "g"), ("p01", "der:advances_goal_effective", "h")}
+
+
+def test_inferred_counts_count_facts_where_they_are_made(spark):
+    df = __spark_entry__.queries()["inferred_counts"](spark, SF)
+    assert [optimized(df).nodeName(), optimized(df).children().head().nodeName()] == ["Aggregate", "Union"]  # before, all facts were made distinct in between
+    assert {r.p: r.n for r in df.collect()} == dict(Counter(r.p for r in __spark_entry__.queries()["inference"](spark, SF).collect()))
