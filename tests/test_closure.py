@@ -55,3 +55,14 @@ def test_inferred_counts_count_facts_where_they_are_made(spark):
     df = __spark_entry__.queries()["inferred_counts"](spark, SF)
     assert [optimized(df).nodeName(), optimized(df).children().head().nodeName()] == ["Aggregate", "Union"]  # before, all facts were made distinct in between
     assert {r.p: r.n for r in df.collect()} == dict(Counter(r.p for r in __spark_entry__.queries()["inference"](spark, SF).collect()))
+
+
+def test_chains_are_counted_with_one_shuffle(spark):
+    """Before, the pairs themselves went through every round's shuffles and were written."""
+    df = __spark_entry__.queries()["qa_chains"](spark, SF)
+    assert "Join" not in optimized(df).toString()
+    rows = df.collect()
+    up = {}
+    for r in __spark_entry__.queries()["mgmt_chain"](spark, SF).collect():
+        up.setdefault(r.id, set()).add(r.ancestor)
+    assert {r.id: (r.n, r.difficulty) for r in rows} == {k: (n, "hard" if n > 1 else "medium") for k, v in up.items() if (n := len(v - {k}))}
