@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronoweave.operators import resemble
 from chronoweave.operators.journal import numbered, slug
 from chronoweave.operators.traverse import components
 from chronoweave.runtime import Workspace, small
@@ -186,14 +187,18 @@ def unresolved_names(documents: DataFrame, known: DataFrame) -> DataFrame:
     return open_.join(strange, "surface", "left_semi").select("doc_id", "surface")
 
 
-def resolve_mentions(mentions: DataFrame, ws: Workspace, merge_at: float = 0.7) -> DataFrame:
+def resolve_mentions(mentions: DataFrame, ws: Workspace, merge_at: float = 0.7, held: int = resemble.HELD_FORMS) -> DataFrame:
     """(mention_id, entity): mentions of one type that name the same thing. ``mentions`` has id, type, surface.
 
     Equal normalized names merge outright; distinct names of a type are compared by tf-idf cosine of their character n-grams,
     and what reaches ``merge_at`` is joined into components named by their smallest form. The context of a mention plays no part.
+    Up to ``held`` names are compared by workers that hold them all, without a shuffle of pairs; more by joins.
     """
     rows = mentions.select("id", F.coalesce("type", F.lit("")).alias("block"), normalized(F.col("surface")).alias("form")).where("form <> ''")
     names = ws.put(rows.select("block", "form").distinct(), keep=True)
+    near = resemble.groups(names, ws, merge_at, held)
+    if near is not None:
+        return rows.join(small(near), ["block", "form"], "left").select(F.col("id").alias("mention_id"), F.coalesce("least", "form").alias("entity"), F.col("block").alias("type"))
     vectors = ws.put(tfidf(names.select("block", F.col("form").alias("id"), char_ngrams(F.col("form")).alias("terms"))), keep=True)
     # prefix filter on both sides, rarest terms first: without what lies behind their prefixes two unit vectors stay below the bound, so
     # those that reach it share a term of both prefixes, and common terms are hardly ever in one
