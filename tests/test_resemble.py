@@ -19,3 +19,10 @@ def test_held_names_give_the_groups_that_joins_give(spark):
         got = sorted(tuple(r) for r in held.collect())
         assert got == sorted(tuple(r) for r in text.resolve_mentions(df, ws, held=0).collect())
         assert len({r[1:] for r in got}) < len({(t, n.lower().strip()) for _, t, n in rows}) and text.resolve_mentions(df.limit(0), ws).count() == 0
+
+
+def test_entities_of_held_names(spark):
+    df = spark.createDataFrame([(str(i), "P", n) for i, n in enumerate(["Anna Berglund", "anna berglund", "Anna Berglundh", "Bo Ek"])], "id string, type string, surface string")
+    with Workspace(spark, "t") as ws:
+        df_held, joined = (text.entities(df, text.resolve_mentions(df, ws, **k)) for k in ({}, {"held": 0}))
+        assert "cosine" not in df_held._jdf.queryExecution().analyzed().toString() and sorted(df_held.collect()) == sorted(joined.collect()) and df_held.count() == 2
