@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoweave.operators import resemble
+from chronoweave.operators import resemble, surfaces
 from chronoweave.operators.journal import numbered, slug
 from chronoweave.operators.traverse import components
 from chronoweave.runtime import Workspace, small
@@ -142,14 +144,17 @@ def tag(text: str, surfaces: list[tuple[str, str]]) -> list[tuple[int, int, str]
     return sorted((s, e - s, x) for s, e, x in claimed)
 
 
-def tag_mentions(documents: DataFrame, roster: DataFrame) -> DataFrame:
+def tag_mentions(documents: DataFrame, roster: DataFrame, held: int = surfaces.HELD_SURFACES) -> DataFrame:
     """(doc_id, offset, length, entity_id) of the roster's surfaces (surface, entity_id; one entity each) in every text.
 
-    Candidates come from a join of each document's distinct words with the surfaces' first words, so the roster is never
-    sent whole to a task; the order-dependent claiming then runs per document on its own few candidates.
+    Up to ``held`` surfaces are sent to every worker, which looks them up by their rarest word, so that no text is shuffled. Of more, candidates come
+    from a join of each document's distinct words with the surfaces' first words. The order-dependent claiming runs per document on its own few candidates.
     """
     first = F.regexp_extract("surface", r"(?U)^\w+", 0)
     forms = roster.select("surface", "entity_id", first.alias("word")).where("word <> ''")
+    table = forms.select("surface", "entity_id").limit(held + 1).toArrow()
+    if table.num_rows <= held:
+        return _tag_held(documents, table)
     seen = documents.where("text is not null").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
     near = seen.join(forms, "word").groupBy("doc_id").agg(F.collect_set(F.struct((-F.length("surface")).alias("l"), "surface", "entity_id")).alias("forms"))
     rows = documents.join(near, "doc_id").select("doc_id", "text", F.array_sort("forms").alias("forms"))
@@ -162,6 +167,22 @@ def tag_mentions(documents: DataFrame, roster: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "doc_id bigint, offset int, length int, entity_id string")
 
 
+def _tag_held(documents: DataFrame, table: pa.Table) -> DataFrame:
+    shared, key = documents.sparkSession.sparkContext.broadcast(table), uuid.uuid4().hex
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forms, by_word = surfaces.index(key, shared.value["surface"].to_pylist())
+        entity = shared.value["entity_id"]
+        for f in frames:
+            out = []
+            for d, t in zip(f["doc_id"], f["text"], strict=True):
+                near = sorted(((-len(forms[i]), forms[i], i) for i in surfaces.candidates(t, forms, by_word)))
+                out += [(d, *m[:2], entity[m[2]].as_py()) for m in tag(t, [(form, i) for _, form, i in near])]
+            yield pd.DataFrame(out, columns=["doc_id", "offset", "length", "entity_id"])
+
+    return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id bigint, offset int, length int, entity_id string")
+
+
 def roster(nodes: DataFrame) -> DataFrame:
     """(surface, entity_id): the first claimant of a surface, by type and id, keeps it."""
     order = F.struct(F.array_position(F.array(*[F.lit(t) for t in ("Person", "Project", "Initiative", "Team", "Goal", "Department", "Company")]), F.col("type")), "id")
