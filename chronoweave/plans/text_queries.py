@@ -181,7 +181,8 @@ def overlapping_spans(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def alias_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """Which entities the chunks name by any of their forms. Leftmost and longest claims depend on each other, which SQL cannot say; a test holds it against brute force."""
-    return kgbuild.resolve_aliases(read_table(spark, folder, "chunks").groupBy("id").agg(F.max("text").alias("text")), _surfaces(spark, folder))
+    with Workspace(spark, "aliases") as ws:
+        return kgbuild.resolve_aliases(read_table(spark, folder, "chunks").groupBy("id").agg(F.max("text").alias("text")), ws.put(_surfaces(spark, folder), keep=True))
 
 
 @query("""
